@@ -1,9 +1,12 @@
-"""Ids by the tokenizers library for a vocabulary that drops white space, each distinct stretch between spaces encoded once.
+"""Ids by the tokenizers library for a vocabulary that drops white space, each distinct word encoded once.
 
 The vocabulary's pattern never matches across white space and its normaliser (NFC, white space to spaces, lower case) neither
-joins nor reorders characters across it, so the ids of a text are those of its stretches, one after another. The library encodes
-the stretches that a task hasn't met, many in one call; their ids stay in a cache of at most ``CACHE_WORDS`` stretches.
-Texts with the characters U+001C to U+001F, white space to Python alone, are cut by the exact spaces instead.
+joins nor reorders characters across it, so the ids of a text are those of its stretches between spaces, one after another, and
+those of a stretch are its pre-tokens'. Two caches hold the ids of stretches and of pre-tokens that a task has met; the library
+encodes the other pre-tokens, many in one call. Both start anew at a fixed size, so memory doesn't grow with the input.
+
+Stretches with characters from U+0250 on (where normalisation and letter classes are the library's business), with control
+strings, or of texts with U+0000 or U+001C to U+001F (white space to Python alone) go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,81 +14,135 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import regex
 
-CACHE_WORDS = 700_000
-#: Characters that Python's split takes for white space and the vocabulary's pattern doesn't.
-ODD = "\x1c\x1d\x1e\x1f"
-SPACE = regex.compile(r"[ \t\n\v\f\r]+")
-TOGETHER = 4096
+CACHE_STRETCHES, CACHE_WORDS = 700_000, 800_000
+#: Characters that Python's split takes for white space and the vocabulary's pattern doesn't, and the mark between stretches.
+ODD = "\x00\x1c\x1d\x1e\x1f"
+TOGETHER = 2048
 
 
 class StretchEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        #: Only where nothing in the vocabulary's rules looks across white space may a text be cut there.
-        self.may_cut = (spec["pre_tokenizer"] or {}).get("type") == "Sequence" and spec["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
         self.size = self.library.get_vocab_size()
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        # Texts may be cut only where the file has exactly the rules described above.
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.end = spec["model"].get("end_of_word_suffix") or ""
+        self.may_cut = bool(self.end) and len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[1]["type"] == "ByteLevel" and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        if self.may_cut:
+            pattern = steps[0]["pattern"]["Regex"]
+            self.split = regex.compile("\x00|" + pattern.replace(r"[^\s", "[^\\s\x00"))
+            #: The same model without the steps that a pre-token has behind it.
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer = normalizers.Sequence([])
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.closes = np.zeros(self.size, bool)
+            self.closes[[i for t, i in spec["model"]["vocab"].items() if t.endswith(self.end)]] = True
         self.forget()
+        self.forget_words()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends = array("I"), array("Q", [0])
 
-    def learn(self, fresh: list[str]) -> None:
-        known, flat, ends = self.known, self.flat, self.ends
+    def forget_words(self) -> None:
+        self.words: dict[str, int] = {}
+        self.word_flat, self.word_ends = array("I"), array("Q", [0])
+
+    def learn_words(self, fresh: list[str]) -> None:
         for i in range(0, len(fresh), TOGETHER):
             part = fresh[i : i + TOGETHER]
-            got = self.library.encode(" ".join(part), add_special_tokens=False)
-            starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-            bounds = np.cumsum([0, *[len(w) + 1 for w in part]])
-            flat.extend(got.ids)
-            done = ends[-1]
-            upto = done + np.searchsorted(starts, bounds[1:], "left")
-            base = len(known)
-            known.update(zip(part, range(base, base + len(part)), strict=True))
-            ends.extend(upto.tolist())
-
-    def stretches(self, text: str) -> list[str]:
-        if any(c in text for c in ODD):
-            return [w for w in SPACE.split(text) if w]
-        return text.split()
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("a word didn't end with one closing token")
+            base, done = len(self.words), self.word_ends[-1]
+            self.words.update(zip(part, range(base, base + len(part)), strict=True))
+            self.word_flat.frombytes(ids.tobytes())
+            self.word_ends.frombytes((ends + done).astype(np.uint64).tobytes())
+
+    def learn(self, fresh: list[str]) -> None:
+        """Adds stretches."""
+        quick = [w for w in fresh if (w.isascii() or max(w) < "ɐ") and not ("<|" in w and any(x in w for x in self.special))]
+        if len(quick) < len(fresh):
+            taken = set(quick)
+            for w in fresh:
+                if w not in taken:
+                    self.add([w], np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32), None)
+        if not quick:
+            return
+        if len(self.words) > CACHE_WORDS:
+            self.forget_words()
+        words = self.words
+        found = self.split.findall("\x00".join(quick).lower())
+        fresh_words = dict.fromkeys(w for w in found if w not in words)
+        fresh_words.pop("\x00", None)
+        if fresh_words:
+            self.learn_words(list(fresh_words))
+        words["\x00"] = -1
+        at = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+        del words["\x00"]
+        mark = at < 0
+        owner = np.cumsum(mark)[~mark]
+        ids, lens = gather(np.frombuffer(self.word_flat, np.uint32), np.frombuffer(self.word_ends, np.uint64).astype(np.int64), at[~mark])
+        self.add(quick, ids, np.bincount(owner, lens, len(quick)).astype(np.int64))
+
+    def add(self, stretches: list[str], ids: np.ndarray, counts: np.ndarray | None) -> None:
+        base, done = len(self.known), self.ends[-1]
+        self.known.update(zip(stretches, range(base, base + len(stretches)), strict=True))
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.ends.frombytes((done + np.cumsum([len(ids)] if counts is None else counts)).astype(np.uint64).tobytes())
 
     def encode_batch(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in order, each text's followed by end unless that is None, and how many each text has."""
-        if not self.may_cut:
+        tail = [] if end is None else [end]
+        if not self.may_cut or any(c in t for t in texts for c in ODD):
+            if len(texts) > 1 and self.may_cut:
+                parts = [self.encode_batch([t], end) for t in texts]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             got = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
-            tail = [] if end is None else [end]
             return np.fromiter((i for x in got for i in [*x, *tail]), np.uint32), np.array([len(x) + len(tail) for x in got], np.int64)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_STRETCHES:
             self.forget()
-        parts = [self.stretches(t) for t in texts]
-        known = self.known
-        places = [list(map(known.get, p)) for p in parts]
-        if any(None in p for p in places):
-            self.learn(list(dict.fromkeys(w for p, at in zip(parts, places, strict=True) if None in at for w, x in zip(p, at, strict=True) if x is None)))
-            places = [list(map(known.get, p)) if None in at else at for p, at in zip(parts, places, strict=True)]
+        parts = [t.split() for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        stretches = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            met = [stretches[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(met)))
+            at[new] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
-        ends = np.frombuffer(self.ends, np.uint64).astype(np.int64)
-        if end is not None:  # a last stretch of one id
-            flat, ends = np.concatenate((flat, np.array([end], np.uint32))), np.concatenate((ends, [len(flat) + 1]))
-            for p in places:
-                p.append(len(ends) - 2)
-        words = np.fromiter(map(len, places), np.int64, len(places))
-        at = np.fromiter((x for p in places for x in p), np.int64, int(words.sum()))
-        starts, lens = ends[:-1][at], np.diff(ends)[at]
-        to = np.cumsum(lens)
-        ids = flat[np.repeat(starts - (to - lens), lens) + np.arange(to[-1] if len(to) else 0)]
-        upto = np.concatenate(([0], to))
-        return ids, np.diff(upto[np.concatenate(([0], np.cumsum(words)))])
+        ends = np.frombuffer(self.ends, np.uint64).view(np.int64)
+        if tail:  # a last stretch of one id
+            flat, ends = np.concatenate((flat, np.array(tail, np.uint32))), np.concatenate((ends, [len(flat) + 1]))
+            at = np.insert(at, np.cumsum(counts), len(ends) - 2)
+            counts += 1
+        ids, lens = gather(flat, ends, at)
+        upto = np.concatenate(([0], np.cumsum(lens)))
+        return ids, np.diff(upto[np.concatenate(([0], np.cumsum(counts)))])
+
+
+def gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat numbered at, joined, and their lengths; run k ends before ends[k + 1]."""
+    starts = ends[at]
+    lens = ends[at + 1] - starts
+    to = np.cumsum(lens)
+    index = np.repeat(starts - (to - lens), lens)
+    index += np.arange(len(index))
+    return flat[index], lens
 
 
 _ENCODERS: dict[str, StretchEncoder] = {}
