@@ -30,8 +30,10 @@ from pagemill.llm.common import arrow_map, as_texts, batch, chunks, scratch
 from pagemill.llm.words import encoder
 
 SHARD_IDS = 1 << 20
-#: A pair is frequent from so many occurrences in a shard; a rule stays from so many uses; rounds end below this gain.
-FREQUENT, LEAST_USES, LEAST_GAIN, ROUNDS = 24, 4, 0.02, 8
+#: A pair is frequent from so many occurrences in a shard; a rule stays from so many uses; a round that gains less is the last.
+FREQUENT, LEAST_USES, LEAST_GAIN, ROUNDS = 24, 4, 0.05, 8
+#: Slots of the table that counts a round's pairs.
+SLOT_BITS = 18
 MAGIC, VERSION = b"PMRP", 1
 HEAD = struct.Struct("<4sIqqqqq")
 SHARDS = "part int, shard int, before long, n_docs long, n_ids long, blob binary"
@@ -42,40 +44,35 @@ def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nda
     seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
     last[np.cumsum(counts)[counts > 0] - 1] = True
     rules, lengths, size = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], terminals
-    slots = 1 << 18
+    slots = 1 << SLOT_BITS
+    pairs = np.zeros(slots + 1, np.int64)
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST_USES:
             break
         width = np.int64(size)
         key = seq[:-1] * width + seq[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
         slot[last[:-1]] = slots
-        often = np.bincount(slot, minlength=slots + 1)
-        often[slots] = 0
-        pairs, n = np.unique(key[(often >= FREQUENT)[slot]], return_counts=True)
-        pairs, n = pairs[n >= FREQUENT], n[n >= FREQUENT]
-        if not len(pairs):
-            break
-        # A slot holds its most frequent pair; others wait for a later round.
-        order = np.argsort(n, kind="stable")
-        at = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-        table, weight = np.full(slots + 1, -1, np.int32), np.zeros(len(n) + 1, np.int64)
-        table[at[order]] = order
-        weight[:-1] = n
-        which = table[slot]
-        which[pairs[which] != key] = -1
-        heavy = weight[which]
-        pick = which >= 0
+        # A slot counts one of its pairs, most likely its most frequent one; others wait for a later round.
+        pairs[slot] = key
+        own = pairs[slot] == key
+        own &= ~last[:-1]
+        n = np.bincount(slot[own], minlength=slots + 1)
+        heavy = n[slot]
+        heavy *= own
+        pick = heavy >= FREQUENT
         pick[1:] &= heavy[1:] > heavy[:-1]
         pick[:-1] &= heavy[:-1] >= heavy[1:]
-        uses = np.bincount(which[pick], minlength=len(pairs))
-        kept = uses >= LEAST_USES
         where = np.flatnonzero(pick)
-        where = where[kept[which[where]]]
-        if len(where) < LEAST_GAIN * len(seq):
+        used = slot[where]
+        kept = np.bincount(used, minlength=slots + 1) >= LEAST_USES
+        stays = kept[used]
+        where, used = where[stays], used[stays]
+        gain = len(where) / len(seq)
+        if not len(where):
             break
         name = np.cumsum(kept) - 1 + size
-        seq[where] = name[which[where]]
+        seq[where] = name[used]
         last[where] = last[where + 1]
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
@@ -85,6 +82,8 @@ def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nda
         rules.append(made)
         size += len(made)
         seq, last = seq[stay], last[stay]
+        if gain < LEAST_GAIN:
+            break
     per = np.zeros(len(counts), np.int64)
     per[counts > 0] = np.diff(np.flatnonzero(last), prepend=-1)
     return seq, per, np.concatenate(rules), np.concatenate(lengths)
@@ -142,19 +141,27 @@ class Shard:
         self.flat, self.ends = flat, ends
 
     def gather(self, symbols: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        rule = symbols - self.terminals
-        plain = rule < 0
-        rule[plain] = 0
         if not len(self.rules):
             return symbols.astype(np.uint32)
-        lens = np.where(plain, 1, self.lengths[rule])
-        to = np.cumsum(lens)
-        start = np.where(plain, 0, ends[rule]) - (to - lens)
-        at = np.repeat(start, lens)
-        at += np.arange(to[-1] if len(to) else 0)
-        out = flat[at] if len(flat) else np.empty(len(at), np.uint32)
-        out[(to - lens)[plain]] = symbols[plain]
+        rule = symbols.astype(np.int64)
+        rule -= self.terminals
+        where = np.flatnonzero(rule >= 0)
+        rule = rule[where]
+        lens = self.lengths[rule]
+        # Every symbol is copied once for each of its ids; those of rules are then overwritten.
+        out = np.repeat(symbols, self.repeats(symbols, where, lens)).astype(np.uint32)
+        starts = where + np.cumsum(lens - 1) - (lens - 1)
+        index = np.repeat(starts - (np.cumsum(lens) - lens), lens)
+        index += np.arange(len(index))
+        source = np.repeat(ends[rule] - (np.cumsum(lens) - lens), lens)
+        source += np.arange(len(source))
+        out[index] = flat[source]
+        return out
+
+    @staticmethod
+    def repeats(symbols: np.ndarray, where: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        out[where] = lens
         return out
 
     def all_ids(self) -> np.ndarray:

@@ -23,6 +23,7 @@ CACHE_STRETCHES, CACHE_WORDS = 700_000, 800_000
 #: Characters that Python's split takes for white space and the vocabulary's pattern doesn't, and the mark between stretches.
 ODD = "\x00\x1c\x1d\x1e\x1f"
 TOGETHER = 2048
+MARKS = (",", ".")
 
 
 class StretchEncoder:
@@ -55,6 +56,8 @@ class StretchEncoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends = array("I"), array("Q", [0])
+        #: Whether a stretch ends in something other than a letter or digit.
+        self.open = bytearray()
 
     def forget_words(self) -> None:
         self.words: dict[str, int] = {}
@@ -101,9 +104,22 @@ class StretchEncoder:
     def add(self, stretches: list[str], ids: np.ndarray, counts: np.ndarray | None) -> None:
         base, done = len(self.known), self.ends[-1]
         self.known.update(zip(stretches, range(base, base + len(stretches)), strict=True))
+        self.open += bytes([not w[-1].isalnum() for w in stretches])
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
         self.ends.frombytes((done + np.cumsum([len(ids)] if counts is None else counts)).astype(np.uint64).tobytes())
 
+    def places(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all stretches in order, and how many each part has."""
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        stretches = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            met = [stretches[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(met)))
+            at[new] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
+        return at, counts
+
     def encode_batch(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in order, each text's followed by end unless that is None, and how many each text has."""
         tail = [] if end is None else [end]
@@ -115,15 +131,16 @@ class StretchEncoder:
             return np.fromiter((i for x in got for i in [*x, *tail]), np.uint32), np.array([len(x) + len(tail) for x in got], np.int64)
         if len(self.known) > CACHE_STRETCHES:
             self.forget()
-        parts = [t.split() for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        stretches = list(chain.from_iterable(parts))
-        at = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            met = [stretches[i] for i in new.tolist()]
-            self.learn(list(dict.fromkeys(met)))
-            at[new] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
+        parts = [shared_stretches(t) for t in texts]
+        at, counts = self.places(parts)
+        marks = [self.known[x] for x in MARKS if x in self.known]
+        if marks:
+            # A comma or full stop that was set apart from other punctuation belongs to its run: those texts are cut by spaces alone.
+            wrong = np.flatnonzero(np.isin(at[1:], marks) & np.frombuffer(self.open, np.uint8)[at[:-1]].astype(bool))
+            if len(wrong):
+                for k in set(np.searchsorted(np.cumsum(counts), wrong + 1, "right").tolist()):
+                    parts[k] = texts[k].split()
+                at, counts = self.places(parts)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
         ends = np.frombuffer(self.ends, np.uint64).view(np.int64)
         if tail:  # a last stretch of one id
@@ -135,6 +152,18 @@ class StretchEncoder:
         return ids, np.diff(upto[np.concatenate(([0], np.cumsum(counts)))])
 
 
+def shared_stretches(text: str) -> list[str]:
+    """Stretches of text, in Latin-1 texts in lower case and without the comma or full stop at their end, which follows by itself: fewer distinct ones."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+    if "<|" in text:
+        return text.split()
+    return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").split()
+
+
 def gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of flat numbered at, joined, and their lengths; run k ends before ends[k + 1]."""
     starts = ends[at]
