@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     out = StructType([*kinds.fields, *StructType().add(pred_col, StringType()).add(score_col, DoubleType()).fields])
-    return docs.mapInArrow(run, out)
+    return arrow_map(docs, run, out)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

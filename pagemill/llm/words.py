@@ -2,8 +2,8 @@
 
 The vocabulary's pattern never matches across white space and its normaliser (NFC, white space to spaces, lower case) neither
 joins nor reorders characters across it, so the ids of a text are those of its stretches between spaces, one after another, and
-those of a stretch are its pre-tokens'. Two caches hold the ids of stretches and of pre-tokens that a task has met; the library
-encodes the other pre-tokens, many in one call. Both start anew at a fixed size, so memory doesn't grow with the input.
+those of a stretch are its pre-tokens'. A cache holds the ids of stretches that a task has met; the library encodes the distinct
+pre-tokens of the others, many in one call. The cache starts anew at a fixed size, so memory doesn't grow with the input.
 
 Stretches with characters from U+0250 on (where normalisation and letter classes are the library's business), with control
 strings, or of texts with U+0000 or U+001C to U+001F (white space to Python alone) go to the library whole.
@@ -19,7 +19,7 @@ from itertools import chain, repeat
 import numpy as np
 import regex
 
-CACHE_STRETCHES, CACHE_WORDS = 700_000, 800_000
+CACHE_STRETCHES = 900_000
 #: Characters that Python's split takes for white space and the vocabulary's pattern doesn't, and the mark between stretches.
 ODD = "\x00\x1c\x1d\x1e\x1f"
 TOGETHER = 2048
@@ -60,6 +60,7 @@ class StretchEncoder:
         self.open = bytearray()
 
     def forget_words(self) -> None:
+        """Pre-tokens last for one call of learn."""
         self.words: dict[str, int] = {}
         self.word_flat, self.word_ends = array("I"), array("Q", [0])
 
@@ -85,8 +86,7 @@ class StretchEncoder:
                     self.add([w], np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32), None)
         if not quick:
             return
-        if len(self.words) > CACHE_WORDS:
-            self.forget_words()
+        self.forget_words()
         words = self.words
         found = self.split.findall("\x00".join(quick).lower())
         fresh_words = dict.fromkeys(w for w in found if w not in words)
