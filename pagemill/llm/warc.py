@@ -303,5 +303,5 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
 
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = stored(write_arcs(spark.read.parquet(f"{sf_dir}/pages.parquet")), "arc")
-    return read_warcs(stored(convert(arcs), "warc"))
+    arcs = stored(write_arcs(spark.read.parquet(f"{sf_dir}/pages.parquet")), "arc", "zstd")
+    return read_warcs(stored(convert(arcs), "warc", "zstd"))
