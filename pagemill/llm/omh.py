@@ -96,8 +96,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def as_hex(prints: np.ndarray) -> str:
-    return prints.astype(">u4").tobytes().hex()
+def packed(prints: np.ndarray) -> bytes:
+    return prints.astype(">u4").tobytes()
 
 
 def edited(text: str, after: str) -> str:
@@ -106,8 +106,9 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+#: Digests and fingerprints are bytes until the end, then hex digits.
+ROWS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def compared(rows: Iterator[tuple]) -> list:
@@ -116,7 +117,7 @@ def compared(rows: Iterator[tuple]) -> list:
     for doc, text, own, after, other in rows:
         new = edited(text, after)
         changed = fingerprint(new)
-        for column, x in zip(out, (doc, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), as_hex(own), as_hex(changed), likeness(own, changed), likeness(own, other)), strict=True):
+        for column, x in zip(out, (doc, len(text), hashlib.sha256(new.encode("utf-8", "replace")).digest(), packed(own), packed(changed), likeness(own, changed), likeness(own, other)), strict=True):
             column.append(x)
     return out
 
@@ -127,13 +128,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
         for b in batches:
-            yield batch(schema, b.column(0), [as_hex(fingerprint(t or "")) for t in b.column(1).to_pylist()])
+            yield batch(schema, b.column(0), [packed(fingerprint(t or "")).hex() for t in b.column(1).to_pylist()])
 
     return arrow_map(docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")), run, "doc_id long, fingerprint string")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """ROWS for every row of docs, each held against its edited text and against the next document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs, each held against its edited text and against the next document.
 
     Documents are range-partitioned by id once. A task can't see the next task's first document, so each leaves its first and
     last one; a second, small step pairs those, two rows for each partition.
@@ -187,7 +188,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows = ((d, t, fingerprint(t), a, fingerprint(a)) for d, t, a in zip(*(c.to_pylist() for c in b.columns), strict=True))
             yield batch(SCHEMA, *compared(rows))
 
-    return found.where("part is null").select(SCHEMA.names).unionByName(arrow_map(met, meet, ROWS))
+    rows = found.where("part is null").select(SCHEMA.names).unionByName(arrow_map(met, meet, ROWS))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op10_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
