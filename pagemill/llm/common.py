@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch are cut into chunks of about this many bytes of text before numpy sees them.
 CHUNK_BYTES = 1 << 21
+SLICE_ROWS = 1024
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Odd base of the polynomial hash over bytes, and its inverse modulo 2**64.
 BASE = 0x100000001B3
@@ -44,16 +46,19 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow; a task that ends gives its worker's free memory back, as workers stay for later stages."""
+    """df.mapInArrow over slices of its batches, so that few rows are Python objects at a time; a task that ends gives its worker's free memory back, as workers stay for later stages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from fn(batches)
+            yield from fn(b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS))
         finally:
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)
 
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":  # Spark's own value: batches of long texts would take tens of MB on both sides
+        conf.set(BATCH_ROWS, str(SLICE_ROWS))
     return df.mapInArrow(run, schema)
 
 

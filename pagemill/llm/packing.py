@@ -49,7 +49,8 @@ class Packer:
             piece = [doc, start, ids[start : start + k], n, prompt]
             if k == self.tokens:
                 yield from self.close([piece])
-            else:
+            else:  # a copy: a view would keep the ids of its whole batch alive
+                piece[2] = piece[2].copy()
                 fresh.append(piece)
             start += k
         self.pool += fresh
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
                     rows += packer.add(name, ids, prompt or 0)
                     if len(packer.pool) >= POOL:
                         rows += packer.fill(POOL // 2)
-                    if len(rows) >= 4096:
+                    if len(rows) >= 512:
                         yield out(rows)
                         rows = []
         rows += packer.fill(0)

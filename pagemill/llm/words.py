@@ -19,7 +19,7 @@ from itertools import chain, repeat
 import numpy as np
 import regex
 
-CACHE_STRETCHES = 900_000
+CACHE_STRETCHES = 800_000
 #: Characters that Python's split takes for white space and the vocabulary's pattern doesn't, and the mark between stretches.
 ODD = "\x00\x1c\x1d\x1e\x1f"
 TOGETHER = 2048
@@ -30,12 +30,10 @@ class StretchEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self.whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.size = self.library.get_vocab_size()
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.special = [t["content"] for t in spec["added_tokens"]]
         # Texts may be cut only where the file has exactly the rules described above.
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -53,6 +51,17 @@ class StretchEncoder:
         self.forget()
         self.forget_words()
 
+    @property
+    def library(self):
+        """The tokenizer as it is in the file, loaded when a text first needs it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.no_truncation()
+            self.whole.no_padding()
+        return self.whole
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends = array("I"), array("Q", [0])
