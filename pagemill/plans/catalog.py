@@ -23,9 +23,8 @@ def query(sql: str | None = None):
     return add
 
 
-@query(r"""
-SELECT lang, count(*) AS docs, sum(len(regexp_extract_all(text, '(?i)\bthe\b')))::BIGINT AS matches FROM documents GROUP BY lang
-""")
-def find_word_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.regexp_count("text", F.lit(r"(?iu)\bthe\b"))).alias("matches"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from pagemill.plans import documents, field_queries, pages, tabular  # noqa: E402,F401
