@@ -19,7 +19,7 @@ from pagemill.functions.text import to_number
 
 TOKEN = re.compile(r'\s*(?:(\d[\d.]*|\.\d+)|("[^"]*")|([A-Za-z_][A-Za-z0-9_.:]*)|(<>|<=|>=|[=<>+\-*/^%(),;]))')
 COMPARISONS: dict[str, Callable] = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
-NULL = F.lit(None).cast
+NULL = lambda kind: F.lit(None).cast(kind)
 
 
 class NotEvaluable(ValueError):

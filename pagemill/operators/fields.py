@@ -38,10 +38,15 @@ def parse_instruction(text: str | None) -> dict | None:
     return {"name": name.upper(), "args": args, "switches": switches}
 
 
-@F.pandas_udf(INSTRUCTION)
-def instruction(text: pd.Series) -> pd.DataFrame:
-    rows = [parse_instruction(t) or {"name": None, "args": None, "switches": None} for t in text]
-    return pd.DataFrame(rows, columns=["name", "args", "switches"])
+def instruction(text: Column) -> Column:
+    """A field instruction's name, arguments and switches."""
+
+    @F.pandas_udf(INSTRUCTION)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [parse_instruction(t) or {"name": None, "args": None, "switches": None} for t in texts]
+        return pd.DataFrame(rows, columns=["name", "args", "switches"])
+
+    return run(text)
 
 
 def field_spans(marks: list[tuple[int, str]]) -> list[tuple[int, int | None, int]]:

@@ -14,3 +14,47 @@ def page_titles(spark, d):
 @query(r"SELECT page_id, len(regexp_extract_all(html, '(?s)<a [^>]*href=\"([^\"]*)\"', 1))::INT AS links, len(regexp_extract_all(html, '(?i)href=\"(javascript|data|vbscript):'))::INT AS unsafe FROM pages")
 def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('(?s)<a [^>]*href="([^"]*)"'), F.lit(1))).alias("links"), F.regexp_count("html", F.lit('(?i)href="(javascript|data|vbscript):')).alias("unsafe"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '[\t\n\f\r ]+', ' ', 'g')) AS heading FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&')")
+def page_headings(spark, d):
+    """Through the HTML parser; the twin reads the clean h1 by pattern."""
+    from pagemill.sources import html
+
+    rows = table(spark, d, "pages").where(~F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).contains("&"))
+    return html.blocks(rows).where("kind = 'heading' and level = 1").groupBy("page_id").agg(F.trim(F.min_by("text", "ord")).alias("heading"))
+
+
+@query()
+def page_blocks(spark, d):
+    from pagemill.sources import html
+
+    return html.blocks(table(spark, d, "pages")).select("page_id", "ord", "kind", "level", "text")
+
+
+@query()
+def markdown_blocks(spark, d):
+    from pagemill.sources import markdown
+
+    return markdown.blocks(table(spark, d, "documents")).select("doc_id", "ord", "kind", "level", "text")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def docx_round_trip(spark, d):
+    """Every document as a package of paragraphs, read back."""
+    from pagemill.operators.search import paragraphs
+    from pagemill.sources import docx
+
+    blocks = paragraphs(table(spark, d, "documents")).select("doc_id", "ord", F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("style"), "text")
+    back = docx.document_text(docx.read(docx.write(blocks), id_col="doc_id"), "doc_id")
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def rtf_round_trip(spark, d):
+    from pagemill.operators.search import joined_text, paragraphs
+    from pagemill.sources import rtf
+
+    back = rtf.read(rtf.write_documents(paragraphs(table(spark, d, "documents"))), "doc_id")
+    kept = joined_text(back, ["doc_id"])
+    return kept.select("doc_id", F.md5(F.regexp_replace("text", "\n$", "").cast("binary")).alias("digest"))
