@@ -32,6 +32,9 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 DF_BITS, DF_CHUNKS = 20, 64
+#: The rarest shingle weighs so much more than one of every document. A wider range would tear large groups of near copies apart,
+#: as what they share is frequent for that very reason, and what sets each apart is rare.
+SPREAD = 0.2
 HASH_BITS = 52
 #: Buckets up to this size are paired in full; a leader's partners come in groups of PARTNERS; rounds over larger buckets.
 SMALL, PARTNERS, MOST_ROUNDS = 6, 512, 6
@@ -127,7 +130,7 @@ def small_chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """1 + ln(1 + documents / document frequency) of each bucket, over all rows of docs (text)."""
+    """1 + SPREAD * ln(1 + documents / document frequency) / ln(1 + documents) of each bucket, over all rows of docs (text)."""
     each = (1 << DF_BITS) // DF_CHUNKS
 
     def count(batches):
@@ -162,7 +165,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     for k, rows, counts in arrow_map(arrow_map(docs.select("text"), count, kind).repartition("chunk"), add, kind).collect():  # 2**DF_BITS counts, whatever the input
         table[k] = np.frombuffer(counts, np.int64)
         n += rows
-    return (1 + np.log1p(n / np.maximum(table.reshape(-1), 1))).astype(np.float32)
+    return (1 + SPREAD * np.log1p(n / np.maximum(table.reshape(-1), 1)) / np.log1p(max(n, 1))).astype(np.float32)
 
 
 def node_bands(docs: DataFrame, idf) -> DataFrame:
