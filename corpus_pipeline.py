@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 from pagemill.llm import exact, langid, near, packing, secret_scan
 from pagemill.llm.common import scratch
 
-#: Least posterior probability of the predicted language.
-LEAST_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters or without a likely language. With nothing to learn from, only the former."""
+    """Rejects texts without a language: null, or without letters. Clean texts that mix languages have low scores, and stay."""
     model = langid.train(docs)
     found = langid.identify(docs, model, pred_col="__lang", score_col="__score")
-    likely = F.col("__lang") != langid.UNKNOWN
-    keep = likely & (F.col("__score") >= LEAST_SCORE) if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    # With nothing to learn from, every answer is unknown, and letters alone count.
+    keep = F.col("__lang") != langid.UNKNOWN if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return found.where(keep).select(docs.columns)
 
 
