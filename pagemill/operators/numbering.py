@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagemill.functions.text import ROMAN
 
@@ -100,7 +103,7 @@ LABELS = "doc_id long, ord int, num_id int, level int, counter int, label string
 def list_labels(items: DataFrame, levels: DataFrame, by: str = "doc_id", advance: bool = True) -> DataFrame:
     """LABELS for list items (doc_id, ord, num_id, level); levels (num_id, level, start, format, text, restart_after, legal).
 
-    A list is a document's; its items are scanned in order in one group. Number 0 means no list. With advance=False the labels are
+    A list is a document's; its items are scanned in order. Number 0 means no list. With advance=False the labels are
     those that the next item would be after, without counting it.
     """
     rules: dict[int, dict] = {}
@@ -108,15 +111,20 @@ def list_labels(items: DataFrame, levels: DataFrame, by: str = "doc_id", advance
         after = None if r["restart_after"] is None else int(r["restart_after"])
         rules.setdefault(r["num_id"], {})[r["level"]] = (r["start"], r["format"], r["text"], after, bool(r["legal"]))
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        state = Counters(rules.get(int(pdf["num_id"].iloc[0]), {}))
-        counters, labels = [], []
-        for level in pdf["level"].astype(int):
-            if advance:
-                state.advance(level)
-            counters.append(state.value[level] if state.started[level] else state.start_of(level))
-            labels.append(state.label(level))
-        return pdf[["doc_id", "ord", "num_id", "level"]].assign(counter=counters, label=labels)
-
-    return items.where("num_id != 0").groupBy(by, "num_id").applyInPandas(scan, LABELS)
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, Counters({})
+        for pdf in frames:
+            counters, labels = [], []
+            for doc, num, level in zip(pdf["doc_id"].tolist(), pdf["num_id"].tolist(), pdf["level"].tolist(), strict=True):
+                if held != (doc, num):
+                    held, state = (doc, num), Counters(rules.get(int(num), {}))
+                level = int(level)
+                if advance:
+                    state.advance(level)
+                counters.append(state.value[level] if state.started[level] else state.start_of(level))
+                labels.append(state.label(level))
+            yield pdf.assign(counter=counters, label=labels)
+
+    # A list's items stream by in order; its state is nine counters, however long it is.
+    rows = items.where("num_id != 0").select(F.col(by).cast("long").alias("doc_id"), F.col("ord").cast("int").alias("ord"), F.col("num_id").cast("int").alias("num_id"), F.col("level").cast("int").alias("level"))
+    return rows.repartition("doc_id", "num_id").sortWithinPartitions("doc_id", "num_id", "ord").mapInPandas(scan, LABELS)
