@@ -266,10 +266,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = members.where(f"size > {SMALL}").select("key", "id")
     for turn in range(MOST_ROUNDS):
         # Where a large bucket holds several classes, the others' nodes meet another member of the first.
-        told = many.join(labels, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+        told = stored(many.join(labels, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class")), "told")
         first = F.min(F.struct("class", F.xxhash64("id", F.lit(turn)).alias("by"), "id"))
         split = told.groupBy("key").agg(first.alias("first"), F.max("class").alias("last")).where("first.class != last").select("key", F.col("first.id").alias("a"), F.col("first.class").alias("own"))
-        pairs = stored(told.join(split, "key").where("class != own").select("a", F.col("id").alias("b")).distinct(), "pairs")
+        # Classes only grow: a bucket of one class is settled, and the next round reads the others.
+        told = stored(told.join(split, "key"), "split")
+        many = told.select("key", "id")
+        pairs = stored(told.where("class != own").select("a", F.col("id").alias("b")).distinct(), "pairs")
         found = stored(verified(pairs, texts, idf, similarity), "links") if pairs.limit(1).count() else None
         if found is None or not found.limit(1).count():
             break
