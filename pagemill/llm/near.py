@@ -7,9 +7,10 @@ sample is the pair (shingle, t) of least a = c / (y e^r). Empty bins copy others
 ``ROWS`` samples give candidates, which are verified by the weighted Jaccard similarity of their whole texts.
 
 Equal texts are one node from the start. In a band's bucket nodes aren't all paired: small buckets are, larger ones are compared
-with a leader, and then, in rounds, nodes that are still in another class with further members of the first class, until a round
-links nothing more. Links make classes by alternating large-star and small-star steps. Buckets, links and labels stay distributed;
-verification splits a leader's partners over tasks and streams them past the leader's features.
+with a leader, and then, in rounds, nodes that are still in another class with further members of the first class. The rounds only
+save work: in the end every pair of nodes of a bucket that are still in two classes is compared, block by block. Links make classes
+by alternating large-star and small-star steps. Buckets, links and labels stay distributed; verification splits a leader's partners
+over tasks and streams them past the leader's features.
 
 Defined results: a null text counts as empty; texts without words are alike only if equal; the class id is the smallest id of its
 documents; rows that share an id share a class, even if their texts differ; a row without an id has the class of an equal text
@@ -38,6 +39,8 @@ SPREAD = 0.2
 HASH_BITS = 52
 #: Buckets up to this size are paired in full; a leader's partners come in groups of PARTNERS; rounds over larger buckets.
 SMALL, PARTNERS, MOST_ROUNDS = 6, 512, 6
+#: Nodes of a block, when a bucket's classes are compared with each other.
+BLOCK = 128
 DRAWS = np.random.default_rng(52).integers(0, SAMPLES, (SAMPLES, 2048), dtype=np.int64)
 _PLACES = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 _U = np.uint64
@@ -227,6 +230,74 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     return arrow_map(rows, run, "a long, b long").distinct()
 
 
+def between(nodes: list[tuple[int, int, bool, np.ndarray, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Alike nodes (id, class, left, hashes, weights) of two classes: left ones with the others, or with each other if all are left."""
+    nodes = [x for x in nodes if len(x[3])]
+    one = all(x[2] for x in nodes)
+    left = nodes if one else [x for x in nodes if x[2]]
+    right = nodes if one else [x for x in nodes if not x[2]]
+    if not left or not right or len({x[1] for x in nodes}) < 2:
+        return []
+    lens = np.array([len(x[3]) for x in right])
+    names, index = np.unique(np.concatenate([x[3] for x in right]), return_inverse=True)
+    weights, starts = np.concatenate([x[4] for x in right]), np.cumsum(lens) - lens
+    classes, totals = np.array([x[1] for x in right]), np.add.reduceat(weights, starts)
+    own, found = np.zeros(len(names)), []
+    for k, (id_, class_, _, hashes, w) in enumerate(left):
+        at = np.searchsorted(names, hashes)
+        at[at == len(names)] = 0
+        both = names[at] == hashes
+        own[at[both]] = w[both]
+        common = np.add.reduceat(np.minimum(own[index], weights), starts)
+        own[at] = 0
+        near = (common >= (similarity - 1e-9) * (w.sum() + totals - common)) & (classes != class_)
+        near[: k + 1 if one else 0] = False
+        found += [(id_, right[j][0]) for j in np.flatnonzero(near) if weighted_jaccard((hashes, w), right[j][3:]) >= similarity]
+    return found
+
+
+def across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """The pairs (a, b) of alike nodes in two classes, of all pairs of nodes of buckets (key, id).
+
+    In each bucket a class of more than BLOCK nodes has blocks of its own, and the other classes share blocks. A cell compares two
+    blocks, unless both are of one class, so a text is copied once for each block it meets and not for each node.
+    """
+    told = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+    open_ = told.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least != most")
+    told = stored(told.join(open_.select("key"), "key", "left_semi"), "told")
+    sizes = told.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.expr(f"if(n > {BLOCK}, string(class), '*')"))
+    parts = sizes.groupBy("key", "own").agg(F.expr(f"(sum(n) - 1) div {BLOCK} + 1").alias("parts"))
+    placed = told.join(sizes.join(parts, ["key", "own"]).select("key", "class", "own", "parts"), ["key", "class"])
+    placed = stored(placed.select("key", "id", "class", "own", F.pmod(F.xxhash64("id"), "parts").alias("part")), "blocks")
+    blocks = placed.select("key", "own", "part").distinct()
+    one, two = (blocks.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("own", "part"))) for k in (1, 2))
+    cells = one.join(two, "key").where("own_1 < own_2 or own_1 = '*' and own_2 = '*' and part_1 <= part_2").withColumn("cell", F.concat_ws(" ", "key", "own_1", "part_1", "own_2", "part_2"))
+    sides = cells.select("key", F.col("own_1").alias("own"), F.col("part_1").alias("part"), "cell", F.lit(True).alias("left"))
+    sides = sides.unionByName(cells.where("own_1 != own_2 or part_1 != part_2").select("key", F.col("own_2").alias("own"), F.col("part_2").alias("part"), "cell", F.lit(False).alias("left")))
+    rows = sides.join(placed, ["key", "own", "part"]).join(texts.select("id", "text"), "id").select("cell", "id", "class", "left", "text")
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        at, held = None, []
+        for x in batches:
+            cells, ids, classes, lefts = (c.to_pylist() for c in x.columns[:4])
+            texts = as_bytes(x.column(4))
+            for s, e in small_chunks([len(t) for t in texts]):
+                hashes, tf, starts = features(texts[s:e])
+                w = tf * idf.value[bucket(hashes)].astype(np.float64)
+                for i in range(s, e):
+                    if cells[i] != at:
+                        if found := between(held, similarity):
+                            yield batch(schema, *zip(*found, strict=True))
+                        at, held = cells[i], []
+                    own = slice(starts[i - s], starts[i - s + 1])
+                    held.append((ids[i], classes[i], lefts[i], hashes[own].copy(), w[own].copy()))
+        if found := between(held, similarity):
+            yield batch(schema, *zip(*found, strict=True))
+
+    return arrow_map(rows.repartition("cell").sortWithinPartitions("cell"), run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class) of every node of edges (a, b): the smallest id it is linked to, over any number of links."""
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
@@ -245,6 +316,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes of labels, with links (a, b) between them."""
+    return components(labels.where("id != class").select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(links))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, text_id (the smallest id with the same text), copies (rows with the same text) of every row."""
     spark = docs.sparkSession
@@ -276,7 +352,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = stored(verified(pairs, texts, idf, similarity), "links") if pairs.limit(1).count() else None
         if found is None or not found.limit(1).count():
             break
-        labels = stored(components(labels.where("id != class").select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(found)), "labels")
+        labels = stored(joined(labels, found), "labels")
+    found = stored(across(many, labels, texts, idf, similarity), "links")
+    if found.limit(1).count():
+        labels = stored(joined(labels, found), "labels")
     named = nodes.select("digest", "id", "copies").join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"), F.col("id").alias("text_id"), "copies")
     return bands.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "text_id", "copies")
 

@@ -138,6 +138,15 @@ def test_near_large_group(spark):
     assert {x.class_id for x in got} == {0}
 
 
+def test_near_pairs_behind_a_template(spark):
+    """Pairs of alike texts among hundreds that share a template, so that their buckets hold many other classes."""
+    template = " ".join("t%d" % k for k in range(204))
+    family = [" ".join(f"f{f}x{k}" for k in range(8)) for f in range(250)]
+    own = [" ".join(f"o{i}x{k}" for k in range(19)) for i in range(500)]
+    got = near.near_duplicates(documents(spark, [(i, f"{family[i % 250]} {template} {own[i]}") for i in range(500)])).collect()
+    assert {x.doc_id: x.class_id for x in got} == {i: i % 250 for i in range(500)}
+
+
 def test_near_edges(spark, edge, empty):
     got = {(x.doc_id, x.text_id): x.class_id for x in near.near_duplicates(edge).collect()}
     assert got[(4, 4)] == got[(5, 4)] == 4 and got[(1, 1)] == got[(2, 1)] == 1 and got[(None, None)] is None and got[(-9, -9)] == got[(10, -9 if (10, -9) in got else 10)]
