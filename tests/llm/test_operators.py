@@ -147,6 +147,15 @@ def test_near_pairs_behind_a_template(spark):
     assert {x.doc_id: x.class_id for x in got} == {i: i % 250 for i in range(500)}
 
 
+def test_near_partners_in_a_large_class(spark):
+    """Texts alike to one member each of a large class, and to no other."""
+    base = " ".join("b%d" % k for k in range(204))
+    member = [f"{base} m{i}" for i in range(800)]
+    apart = [f"{member[i]} " + " ".join(f"s{i}x{k}" for k in range(41)) for i in range(0, 800, 4)]
+    got = near.near_duplicates(documents(spark, list(enumerate(member + apart)))).collect()
+    assert {x.class_id for x in got} == {0}
+
+
 def test_near_edges(spark, edge, empty):
     got = {(x.doc_id, x.text_id): x.class_id for x in near.near_duplicates(edge).collect()}
     assert got[(4, 4)] == got[(5, 4)] == 4 and got[(1, 1)] == got[(2, 1)] == 1 and got[(None, None)] is None and got[(-9, -9)] == got[(10, -9 if (10, -9) in got else 10)]
