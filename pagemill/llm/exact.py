@@ -7,7 +7,7 @@ and their rows are settled map-side. All other digests, none of them with more t
 (digest, id, length) rows. Of equal texts the row with the most code points stays, then that with the smallest id.
 
 Defined results: a null text counts as empty, and empty texts are equal; a null id sorts last; rows that repeat id and text share
-one verdict in ``resolve`` (``deduplicate`` keeps one of them); an empty table gives no rows; other columns are never read by
+one verdict in ``resolve`` (``deduplicate`` keeps one of them, and one of each text without an id); an empty table gives no rows; other columns are never read by
 ``resolve``, whatever their names.
 """
 
@@ -82,8 +82,8 @@ def heavy(rows: DataFrame, hot: float, counters: int) -> DataFrame:
     return counted.where(F.col("group_size") >= max(2, least)).select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"))
 
 
-def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT, counters: int = COUNTERS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+def verdicts(docs: DataFrame, id_col: str, text_col: str, hot: float, counters: int) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, digest, n_points of every row."""
     if not counters + 1 > 1 / hot:
         raise ValueError("counters + 1 must be over 1 / hot")
     rows = stored(addressed(docs, id_col, text_col), "digests")
@@ -95,15 +95,26 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     order = by.orderBy(F.col("n_points").desc(), F.col("doc_id").asc_nulls_last())
     rest = split.where("group_size is null").select("digest", "doc_id", "n_points")
     rest = rest.withColumns({"keep_id": F.first("doc_id").over(order), "keep_points": F.first("n_points").over(order), "group_size": F.count(F.lit(1)).over(by)})
-    return settled.unionByName(rest.select(columns)).select("doc_id", "keep_id", F.col("group_size").cast("long"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+    return settled.unionByName(rest.select(columns)).select("doc_id", "keep_id", F.col("group_size").cast("long"), kept.alias("kept"), "digest", "n_points")
+
+
+def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT, counters: int = COUNTERS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+    return verdicts(docs, id_col, text_col, hot, counters).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns; of rows that repeat an id among them, one. Rows without an id are kept if their text's row is."""
-    verdict = resolve(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"), F.lit(True).alias("__kept"))
-    joined = docs.join(verdict.dropDuplicates(["__kept_id"]), F.col("__kept_id").eqNullSafe(docs[id_col]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    return joined.withColumn("__row", first).where("__row = 1").drop("__row")
+    """The rows of docs that stay, all columns: of every text one, whether or not its row has an id or shares it with other texts."""
+    # A row is known by its id (0 and a mark for none), its digest and its length.
+    known = ["__id", "__none", "__digest", "__points"]
+    verdict = verdicts(docs, id_col, text_col, HOT, COUNTERS).where("kept")
+    verdict = verdict.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.isnull("doc_id").alias("__none"), F.col("digest").alias("__digest"), F.col("n_points").alias("__points")).distinct()
+    id_, text = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    digest = F.unhex(F.sha2(F.translate(text, SPACES.decode(), "").cast("binary"), 256))
+    rows = docs.withColumns({"__id": F.coalesce(id_, F.lit(0)), "__none": F.isnull(id_), "__digest": digest, "__points": F.length(text).cast("long")})
+    first = F.row_number().over(Window.partitionBy(known).orderBy(text_col))
+    return rows.withColumn("__row", first).where("__row = 1").join(verdict, known, "left_semi").select(docs.columns)
 
 
 def op8_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -376,6 +376,17 @@ def test_exact_dedup(spark, edge, empty):
     assert kept.columns == edge.columns and {k for (k,) in collected(kept, "doc_id")} == {1, 4, 7, 8, 10, None} and kept.count() == 6
 
 
+def test_exact_dedup_of_missing_and_repeated_ids(spark):
+    """One row of each text stays, whatever its id."""
+    rows = [(None, f"text {k}") for k in range(50)] * 2 + [(None, None), (None, " \t\n\x0b\f\r"), (7, "one"), (7, "two"), (7, "t wo"), (7, "two"), (0, "zero"), (None, "no id"), (8, "no id"), (None, "é\u00a0x")]
+    got = exact.deduplicate(documents(spark, rows)).collect()
+    best = {}
+    for k, t in rows:
+        key = exact.normalised((t or "").encode())
+        best[key] = min(best.get(key, (1,)), (-len(t or ""), k is None, k or 0, t or ""))
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in got) == sorted(b[1:] for b in best.values())
+
+
 def test_misra_gries():
     r = random.Random(6)
     keys = [r.choice("aaaabbc" + "".join(map(chr, range(200, 300)))).encode() for _ in range(5000)]
