@@ -85,8 +85,11 @@ SELECT doc_id, ord, CASE WHEN level = 0 THEN n || '.' ELSE n || '.' || k END AS
 def list_counters_2level(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"))
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    lines = table(spark, d, "lineitem").select("l_orderkey", k.alias("k")).where("k < 100")
-    first = o.select("doc_id", (F.col("n") * 100).alias("ord"), F.lit(1).alias("num_id"), F.lit(0).alias("level"))
-    second = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("doc_id", (F.col("n") * 100 + F.col("k")).alias("ord"), F.lit(1).alias("num_id"), F.lit(1).alias("level"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", k.alias("k"))
+    both = o.select("doc_id", "n", F.lit(0).alias("k")).unionByName(o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("doc_id", "n", "k"))
+    # Items are placed by (n, k): from line 100 on, n * 100 + k runs into the next order's.
+    placed = both.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "k")))
+    items = placed.select("doc_id", F.col("at").alias("ord"), F.lit(1).alias("num_id"), F.least("k", F.lit(1)).alias("level"))
     levels = spark.createDataFrame([(1, 0, 1, "decimal", "%1.", None, False), (1, 1, 1, "decimal", "%1.%2", None, False)], "num_id int, level int, start int, format string, text string, restart_after int, legal boolean")
-    return numbering.list_labels(first.unionByName(second), levels).select("doc_id", "ord", "label")
+    labels = numbering.list_labels(items, levels).select("doc_id", F.col("ord").alias("at"), "label")
+    return placed.join(labels, ["doc_id", "at"]).select("doc_id", (F.col("n") * 100 + F.col("k")).alias("ord"), "label")

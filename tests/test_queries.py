@@ -39,3 +39,12 @@ def test_query(spark, sf_dir, duck, name):
         assert sorted(columns) == names
         at = [columns.index(c) for c in names]
         assert rows == sorted(repr([plain(r[k]) for k in at]) for r in got.fetchall())
+
+
+def test_list_counters_of_a_long_order(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 7)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, k, k, 1) for k in range(1, 251)] + [(2, 1, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["list_counters_2level"](spark, str(tmp_path)).collect()
+    want = [(100, "1."), (200, "2."), (201, "2.1")] + [(100 + k, f"1.{k}") for k in range(1, 251)]
+    assert sorted((x.ord, x.label) for x in got) == sorted(want)
