@@ -18,11 +18,20 @@ def page_links(spark, d):
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '[\t\n\f\r ]+', ' ', 'g')) AS heading FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&')")
 def page_headings(spark, d):
-    """Through the HTML parser; the twin reads the clean h1 by pattern."""
+    """Through the HTML parser; the twin reads the clean h1 by pattern, and page_headings_all has the pages that both leave out."""
+    return _headings(table(spark, d, "pages").where(~F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).contains("&")))
+
+
+@query()
+def page_headings_all(spark, d):
+    """Every page's, character references decoded."""
+    return _headings(table(spark, d, "pages"))
+
+
+def _headings(pages):
     from pagemill.sources import html
 
-    rows = table(spark, d, "pages").where(~F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).contains("&"))
-    return html.blocks(rows).where("kind = 'heading' and level = 1").groupBy("page_id").agg(F.trim(F.min_by("text", "ord")).alias("heading"))
+    return html.blocks(pages).where("kind = 'heading' and level = 1").groupBy("page_id").agg(F.trim(F.min_by("text", "ord")).alias("heading"))
 
 
 @query()

@@ -1,6 +1,8 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import html
 import math
+import re
 from datetime import datetime
 
 import duckdb
@@ -48,3 +50,12 @@ def test_list_counters_of_a_long_order(spark, tmp_path):
     got = catalog.QUERIES["list_counters_2level"](spark, str(tmp_path)).collect()
     want = [(100, "1."), (200, "2."), (201, "2.1")] + [(100 + k, f"1.{k}") for k in range(1, 251)]
     assert sorted((x.ord, x.label) for x in got) == sorted(want)
+
+
+def test_headings_with_character_references(spark):
+    """Every page of sf0.01, by pattern and the standard library's decoding."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()
+    h1 = {p.page_id: re.search("(?s)<h1[^>]*>(.*?)</h1>", p.html) for p in pages}
+    want = {k: " ".join(html.unescape(re.sub("<[^>]*>", "", m[1])).split()) for k, m in h1.items() if m}
+    got = {x.page_id: x.heading for x in catalog.QUERIES["page_headings_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert any("&" in m[1] for m in h1.values() if m) and got == want
