@@ -46,38 +46,32 @@ def aggregate_range(grid: DataFrame, by: list[str], kind: str, first, last) -> D
 def directional(grid: DataFrame, by: list[str], kind: str, direction: str) -> DataFrame:
     """For every cell the aggregate of the numbers in one direction from it, up to the first cell without one.
 
-    A blank cell right beside counts as 0 and doesn't stop the walk. direction: ABOVE, BELOW, LEFT or RIGHT. In one window the
-    distance to the nearest stop is a running minimum; values beyond it drop out.
+    A blank cell right beside counts as 0 and doesn't stop the walk. direction: ABOVE, BELOW, LEFT or RIGHT. Running aggregates
+    start anew at every stop, so each cell is read once and what lies beyond a stop never enters a value, not even to be taken off.
     """
     across = direction in ("LEFT", "RIGHT")
     line, place = ("row_no", "grid_col") if across else ("grid_col", "row_no")
-    forward = direction in ("ABOVE", "LEFT")
-    order = F.col(place).asc() if forward else F.col(place).desc()
+    order = F.col(place).asc() if direction in ("ABOVE", "LEFT") else F.col(place).desc()
     w = Window.partitionBy(*by, line).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    text = F.coalesce(F.trim("text"), F.lit(""))
-    n = grid.withColumns({"__n": F.row_number().over(w), "__v": to_number("text"), "__blank": text == ""})
-    n = n.withColumn("__stop", F.when(F.col("__v").isNull(), F.col("__n")))
-    # The cell right before is forgiven if blank: the stop is then the last one before it.
-    n = n.withColumns({"__near": F.lag("__blank").over(w), "__last": F.last("__stop", ignorenulls=True).over(before), "__older": F.last("__stop", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -2))})
-    forgiven = F.coalesce(F.col("__near"), F.lit(False))
-    n = n.withColumn("__from", F.coalesce(F.when(forgiven, F.col("__older")).otherwise(F.col("__last")), F.lit(0)))
-    prefix = F.collect_list(F.struct(F.col("__n").alias("n"), F.col("__v").alias("v"))).over(before)
-    if kind in ("SUM", "COUNT", "AVERAGE"):  # running totals: no list of a whole column
-        total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
-        n = n.withColumns({"__s": total(F.coalesce("__v", F.lit(0.0))), "__c": total(F.col("__v").isNotNull().cast("double"))})
-        n = n.withColumns({"__pick": F.when(F.col("__v").isNull(), F.struct("__n", F.col("__s").alias("s"), F.col("__c").alias("c")))})
-        older = F.last("__pick", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -2))
-        last = F.last("__pick", ignorenulls=True).over(before)
-        stop = F.when(forgiven, older).otherwise(last)
-        n = n.withColumn("__at", stop)
-        s = F.col("__s") - F.coalesce(F.col("__at.s"), F.lit(0.0))
-        c = F.col("__c") - F.coalesce(F.col("__at.c"), F.lit(0.0)) + F.when(forgiven, 1.0).otherwise(0.0)
-        value = {"SUM": s, "COUNT": c, "AVERAGE": s / F.nullif(c, F.lit(0.0))}[kind]
-    else:
-        xs = F.transform(F.filter(prefix, lambda x: (x["n"] > F.col("__from")) & x["v"].isNotNull()), lambda x: x["v"])
-        xs = F.when(forgiven, F.concat(xs, F.array(F.lit(0.0)))).otherwise(xs)
-        value = {"MIN": F.array_min(xs), "MAX": F.array_max(xs), "PRODUCT": F.aggregate(xs, F.lit(1.0), lambda a, x: a * x)}[kind]
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = grid.withColumns({"__v": to_number("text"), "__blank": F.coalesce(F.trim("text"), F.lit("")) == ""})
+    # A stretch is a stop and the numbers after it; what a cell aggregates is its neighbour's stretch so far, or the one before a forgiven blank.
+    n = n.withColumn("__g", F.count(F.when(F.col("__v").isNull(), F.lit(1))).over(upto))
+    stretch = Window.partitionBy(*by, line, "__g").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = {"SUM": F.sum, "COUNT": F.count, "AVERAGE": lambda v: F.struct(F.sum(v).over(stretch).alias("s"), F.count(v).over(stretch).alias("c")), "MIN": F.min, "MAX": F.max, "PRODUCT": F.product}[kind]("__v")
+    n = n.withColumn("__so_far", so_far if kind == "AVERAGE" else so_far.over(stretch))
+    forgiven = F.coalesce(F.lag("__blank").over(w), F.lit(False))
+    got = F.when(forgiven, F.lag("__so_far", 2).over(w)).otherwise(F.lag("__so_far").over(w))
+    n = n.withColumns({"__got": got, "__forgiven": forgiven})
+    got, zero = F.col("__got"), F.when(F.col("__forgiven"), F.lit(0.0))
+    value = {
+        "SUM": lambda: F.coalesce(got, F.lit(0.0)),
+        "COUNT": lambda: (F.coalesce(got, F.lit(0)) + F.col("__forgiven").cast("int")).cast("double"),
+        "AVERAGE": lambda: F.coalesce(got["s"], zero) / F.nullif(F.coalesce(got["c"], F.lit(0)) + F.col("__forgiven").cast("int"), F.lit(0)),
+        "MIN": lambda: F.least(got, zero),
+        "MAX": lambda: F.greatest(got, zero),
+        "PRODUCT": lambda: F.coalesce(zero, got, F.lit(1.0)),
+    }[kind]()
     return n.withColumn("value", value).select(*grid.columns, "value")
 
 
