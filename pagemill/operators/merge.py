@@ -31,66 +31,75 @@ def fresh_ids(target: DataFrame, source: DataFrame, by: list[str], id_col: str)
     return ids.join(top, by, "left").select(*by, F.col(id_col).alias("old_id"), (F.coalesce("__top", F.lit(0)) + F.col("__n")).alias("new_id"))
 
 
-def based_on_chains(styles: DataFrame, most: int = 32) -> DataFrame:
-    """(style, chain): each style's ancestors from itself to its root; a cycle is cut where it closes. Styles are few."""
-    out = styles.select(F.col("id").alias("style"), F.col("based_on").alias("next"), F.array("id").alias("chain"))
-    parent = styles.select(F.col("id").alias("__id"), F.col("based_on").alias("__next"))
-    for _ in range(most):
-        step = out.join(parent, F.col("next") == F.col("__id"), "left")
-        fresh = F.col("__id").isNotNull() & ~F.coalesce(F.array_contains("chain", F.col("__id")), F.lit(False))
-        out = step.select("style", F.when(fresh, F.col("__next")).alias("next"), F.when(fresh, F.concat("chain", F.array("__id"))).otherwise(F.col("chain")).alias("chain"))
-        if not out.where("next is not null").limit(1).count():
-            break
-    return out.select("style", "chain")
+def based_on_chains(styles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, style, chain): each style's ancestors from itself to its root, however many; a cycle is cut where it closes, and so is a
+    chain whose next style is missing. The styles of a document (or, without by, all of them) are one map, so no join is repeated."""
+    by = by or []
+    known = styles.where("id is not null").groupBy(*by, "id").agg(F.min("based_on").alias("based_on"))
+    maps = known.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("id", "based_on"))).alias("__m"))
+    each = maps.select(*by, "__m", F.explode(F.map_keys("__m")).alias("style"))
+    follow = lambda chain, _: F.when(
+        F.map_contains_key("__m", F.coalesce(F.element_at("__m", F.element_at(chain, -1)), F.lit(""))) & ~F.array_contains(chain, F.coalesce(F.element_at("__m", F.element_at(chain, -1)), F.lit(""))),
+        F.concat(chain, F.array(F.element_at("__m", F.element_at(chain, -1)))),
+    ).otherwise(chain)
+    return each.select(*by, "style", F.aggregate(F.sequence(F.lit(1), F.size("__m")), F.array("style"), follow).alias("chain"))
+
+
+def middle_snake(a: list, a0: int, a1: int, b: list, b0: int, b1: int) -> tuple[int, int, int, int]:
+    """(x, y, u, v): a run of equal items, maybe empty, in the middle of a shortest script of a[a0:a1] to b[b0:b1], met from both ends."""
+    n, m = a1 - a0, b1 - b0
+    delta, odd = n - m, (n - m) % 2
+    ahead, back = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for k in range(-d, d + 1, 2):
+            x = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
+            u = x
+            while u < n and u - k < m and a[a0 + u] == b[b0 + u - k]:
+                u += 1
+            ahead[k] = u
+            if odd and -d < delta - k < d and u + back[delta - k] >= n:
+                return a0 + x, b0 + x - k, a0 + u, b0 + u - k
+        for k in range(-d, d + 1, 2):
+            x = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+            u = x
+            while u < n and u - k < m and a[a1 - 1 - u] == b[b1 - 1 - u + k]:
+                u += 1
+            back[k] = u
+            if not odd and -d <= delta - k <= d and u + ahead[delta - k] >= n:
+                return a1 - u, b1 - u + k, a1 - x, b1 - x + k
+    raise AssertionError("two walks meet")
 
 
 def edit_script(a: list, b: list) -> list[tuple[str, object]]:
-    """('same' | 'del' | 'ins', item): a shortest one, by the linear-space O(ND) idea on trimmed input."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    middle: list[tuple[str, object]] = []
-    if x and y:
-        best, trace = {1: 0}, []
-        n, m = len(x), len(y)
-        for d in range(n + m + 1):
-            trace.append(dict(best))
-            done = False
-            for k in range(-d, d + 1, 2):
-                i = best[k + 1] if k == -d or (k != d and best[k - 1] < best[k + 1]) else best[k - 1] + 1
-                while i < n and i - k < m and x[i] == y[i - k]:
-                    i += 1
-                best[k] = i
-                if i >= n and i - k >= m:
-                    done = True
-                    break
-            if done:
-                break
-        i, j = n, m
-        for d in range(len(trace) - 1, -1, -1):
-            was, k = trace[d], i - j
-            down = k == -d or (k != d and was[k - 1] < was[k + 1])
-            pk = k + 1 if down else k - 1
-            pi = was[pk] if d else 0
-            pj = pi - pk if d else 0
-            while i > pi and j > pj and (d == 0 or i > (pi if down else pi + 1) or j > (pj + 1 if down else pj)) and x[i - 1] == y[j - 1]:
-                middle.append(("same", x[i - 1]))
-                i, j = i - 1, j - 1
-            if d:
-                if down:
-                    middle.append(("ins", y[j - 1]))
-                    j -= 1
-                else:
-                    middle.append(("del", x[i - 1]))
-                    i -= 1
-        middle.reverse()
-    else:
-        middle = [("del", i) for i in x] + [("ins", i) for i in y]
-    return [("same", i) for i in a[:head]] + middle + [("same", i) for i in a[len(a) - tail :]]
+    """('same' | 'del' | 'ins', item): a shortest one, in O(ND) time and linear space (Myers), deletions before insertions."""
+    out: list[tuple[str, object]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append(("same", a[a0]))
+            a0, b0 = a0 + 1, b0 + 1
+        tail = 0
+        while a0 < a1 - tail and b0 < b1 - tail and a[a1 - 1 - tail] == b[b1 - 1 - tail]:
+            tail += 1
+        if tail:  # its turn comes after what lies before it
+            todo.append((a1 - tail, a1, b1 - tail, b1))
+            a1, b1 = a1 - tail, b1 - tail
+        if a0 == a1 or b0 == b1:
+            out += [("del", x) for x in a[a0:a1]] + [("ins", x) for x in b[b0:b1]]
+            continue
+        x, y, u, v = middle_snake(a, a0, a1, b, b0, b1)
+        todo += [(u, a1, v, b1), (x, u, y, v), (a0, x, b0, y)]
+    # Within a change what goes stands before what comes.
+    done: list[tuple[str, object]] = []
+    change: list[tuple[str, object]] = []
+    for step in [*out, ("same", None)]:
+        if step[0] == "same":
+            done += [s for s in change if s[0] == "del"] + [s for s in change if s[0] == "ins"] + [step]
+            change = []
+        else:
+            change.append(step)
+    return done[:-1]
 
 
 def words(text: str) -> list[str]:
