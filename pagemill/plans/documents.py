@@ -70,10 +70,9 @@ def fence_lengths(spark, d):
     return table(spark, d, "documents").select("doc_id", T.longest_run("text", "[%#$&]").alias("longest"), T.fence_length("text").alias("fence"))
 
 
-@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(regexp_replace(text, '[ -ÿ]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS digest FROM documents")
+@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE c WHEN '&' THEN '&amp;' WHEN '<' THEN '&lt;' WHEN '>' THEN '&gt;' WHEN '"' THEN '&quot;' WHEN chr(39) THEN '&#39;' ELSE CASE WHEN unicode(c) BETWEEN 160 AND 255 THEN '&#' || unicode(c) || ';' ELSE c END END), '')) AS digest FROM documents""")
 def html_escaped(spark, d):
-    plain = F.regexp_replace("text", "[ -ÿ]", "")
-    return table(spark, d, "documents").select("doc_id", F.md5(T.html_escape(plain).cast("binary")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.html_escape("text").cast("binary")).alias("digest"))
 
 
 @query(r"SELECT source, count(*) AS docs, regexp_replace('bookmark' || lower(regexp_replace('My ' || source || ' (mark)!', '[^A-Za-z0-9]+', '-', 'g')), '-+$', '') AS slug FROM documents GROUP BY source")
@@ -106,10 +105,11 @@ def media_dedupe(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("uses"), F.min("doc_id").alias("first_doc"))
 
 
-@query("SELECT label, doc_id, ord FROM (SELECT lower(trim(regexp_extract(text, '^(\\w+)', 1))) AS label, doc_id, ord::INT AS ord, row_number() OVER (PARTITION BY doc_id, lower(trim(regexp_extract(text, '^(\\w+)', 1))) ORDER BY ord) AS n FROM (" + LINES + ") WHERE regexp_matches(text, '^[A-Za-z]+ ')) WHERE n = 1")
+@query("SELECT label, doc_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY ord) AS n FROM (SELECT lower(regexp_extract(text, '^[ ]*([^ \\t\\r\\f]*)', 1)) AS label, doc_id, ord::INT AS ord FROM (" + LINES + "))) WHERE n = 1")
 def first_wins_defs(spark, d):
-    lines = search.paragraphs(table(spark, d, "documents")).where(F.col("text").rlike("^[A-Za-z]+ "))
-    return budget.first_wins(lines.withColumn("label", T.label(F.regexp_extract("text", r"^(\w+)", 1))), ["doc_id", "label"], ["ord"]).select("label", "doc_id", "ord")
+    """The first line of each document that begins with a word, for every word; lines without one count as the empty word."""
+    lines = search.paragraphs(table(spark, d, "documents"))
+    return budget.first_wins(lines.withColumn("label", T.label(F.regexp_extract("text", r"^[ ]*([^ \t\r\f]*)", 1))), ["doc_id", "label"], ["ord"]).select("label", "doc_id", "ord")
 
 
 SEGMENTS = """WITH s AS (SELECT conv_id AS doc_id, turn AS para, CASE turn % 4 WHEN 1 THEN 'ins' WHEN 2 THEN 'del' END AS kind, text, CASE turn % 3 WHEN 1 THEN 'ins' WHEN 2 THEN 'del' END AS mark FROM conversations),

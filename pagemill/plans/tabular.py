@@ -80,16 +80,52 @@ def table_texts(spark, d):
 
 
 @query("""WITH o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
-i AS (SELECT doc_id, (n * 100)::INT AS ord, 0 AS level, n, 0 AS k FROM o UNION ALL SELECT o.doc_id, (o.n * 100 + l.k)::INT, 1, o.n, l.k FROM o JOIN (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) l ON l.l_orderkey = o.o_orderkey WHERE l.k < 100)
-SELECT doc_id, ord, CASE WHEN level = 0 THEN n || '.' ELSE n || '.' || k END AS label FROM i""")
+i AS (SELECT doc_id, 0 AS level, n, 0 AS k FROM o UNION ALL SELECT o.doc_id, 1, o.n, l.k FROM o JOIN (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) l ON l.l_orderkey = o.o_orderkey)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k)::INT AS ord, CASE WHEN level = 0 THEN n || '.' ELSE n || '.' || k END AS label FROM i""")
 def list_counters_2level(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"))
-    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    lines = table(spark, d, "lineitem").select("l_orderkey", k.alias("k"))
-    both = o.select("doc_id", "n", F.lit(0).alias("k")).unionByName(o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("doc_id", "n", "k"))
-    # Items are placed by (n, k): from line 100 on, n * 100 + k runs into the next order's.
-    placed = both.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "k")))
-    items = placed.select("doc_id", F.col("at").alias("ord"), F.lit(1).alias("num_id"), F.least("k", F.lit(1)).alias("level"))
-    levels = spark.createDataFrame([(1, 0, 1, "decimal", "%1.", None, False), (1, 1, 1, "decimal", "%1.%2", None, False)], "num_id int, level int, start int, format string, text string, restart_after int, legal boolean")
-    labels = numbering.list_labels(items, levels).select("doc_id", F.col("ord").alias("at"), "label")
-    return placed.join(labels, ["doc_id", "at"]).select("doc_id", (F.col("n") * 100 + F.col("k")).alias("ord"), "label")
+    items = _list_items(spark, d)
+    levels = spark.createDataFrame([(1, 0, 1, "decimal", "%1.", None, False), (1, 1, 1, "decimal", "%1.%2", None, False)], LEVELS)
+    return numbering.list_labels(items, levels).select("doc_id", "ord", "label")
+
+
+LEVELS = "num_id int, level int, start int, format string, text string, restart_after int, legal boolean"
+
+
+def _list_items(spark, d):
+    """Customers as documents: their orders are items of level 0, and each order's lines of level 1."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"))
+    both = o.withColumn("at", F.lit(None).cast(lines.schema["at"].dataType)).unionByName(o.join(lines, "o_orderkey").select("doc_id", "o_orderkey", "at"))
+    order = Window.partitionBy("doc_id").orderBy("o_orderkey", F.col("at").asc_nulls_first())
+    return both.select("doc_id", F.row_number().over(order).alias("ord"), F.lit(1).alias("num_id"), F.col("at").isNotNull().cast("int").alias("level"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+i AS (SELECT doc_id, 0 AS level, n, 0 AS k FROM o UNION ALL SELECT o.doc_id, 1, o.n, l.k FROM o JOIN (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) l ON l.l_orderkey = o.o_orderkey)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k)::INT AS ord, CASE WHEN level = 1 THEN '(' || (k + doc_id % 5) || ')' WHEN doc_id % 2 = 0 THEN n || ')' ELSE 'No. ' || (n + 9) END AS label FROM i""")
+def list_counters_by_document(spark, d):
+    """Number 1 means another list in every document, and instances start where their overrides say."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    even = F.col("doc_id") % 2 == 0
+    own = customers.select("doc_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("level"), F.lit(1).alias("start"), F.when(even, "%1)").otherwise("No. %1").alias("text"), F.when(~even, F.lit(10)).alias("start_override")),
+        F.struct(F.lit(1).alias("level"), (1 + F.col("doc_id") % 5).cast("int").alias("start"), F.lit("(%2)").alias("text"), F.lit(None).cast("int").alias("start_override")),
+    )).alias("x")).select("doc_id", "x.*")
+    levels = own.withColumns({"num_id": F.lit(1), "format": F.lit("decimal"), "restart_after": F.lit(None).cast("int"), "legal": F.lit(False)})
+    return numbering.list_labels(_list_items(spark, d), levels).select("doc_id", "ord", "label")
+
+
+# Tenths beside a value that swallows them: what lies beyond a stop must not enter a sum.
+DECIMALS = """c AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS row_no, l_discount AS q FROM lineitem),
+v AS (SELECT *, CASE row_no % 4 WHEN 1 THEN '10000000000000000' WHEN 2 THEN 'n/a' ELSE q::VARCHAR END AS text FROM c)"""
+
+
+@query(f"""WITH {DECIMALS},
+p AS (SELECT l_orderkey, row_no, lag(q, 1) OVER o AS one, lag(q, 2) OVER o AS two FROM v WINDOW o AS (PARTITION BY l_orderkey ORDER BY row_no))
+SELECT l_orderkey, row_no, round(CASE WHEN row_no % 4 = 3 OR row_no = 1 THEN 0 WHEN row_no % 4 = 0 THEN one WHEN row_no % 4 = 1 THEN one + two WHEN row_no = 2 THEN 1e16 ELSE 1e16 + one * 0 END, 4)::DOUBLE AS value FROM p""")
+def sum_above_decimals(spark, d):
+    row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    c = table(spark, d, "lineitem").select("l_orderkey", row.alias("row_no"), F.lit(1).alias("cell_no"), F.lit(1).alias("grid_span"), F.col("l_discount").alias("q"))
+    text = F.when(F.col("row_no") % 4 == 1, "10000000000000000").when(F.col("row_no") % 4 == 2, "n/a").otherwise(F.col("q").cast("string"))
+    value = tables.directional(tables.with_grid(c.withColumn("text", text).drop("q"), KEY), KEY, "SUM", "ABOVE")
+    return value.select("l_orderkey", "row_no", F.round("value", 4).alias("value"))

@@ -43,6 +43,10 @@ def test_table_formulas(spark):
     assert walked(spark, blank, "COUNT", "ABOVE", (4, 1)) == 3 and walked(spark, blank, "MIN", "ABOVE", (4, 1)) == 0
     assert walked(spark, [[(1, "3")], [(1, "x")], [(1, "")], [(1, "=")]], "SUM", "ABOVE", (4, 1)) == 0
     assert walked(spark, column, "PRODUCT", "BELOW", (1, 1)) == 250
+    swallowed = [[(1, "10000000000000000")], [(1, "n/a")], [(1, "0.1")], [(1, "0.2")], [(1, "=")]]
+    assert abs(walked(spark, swallowed, "SUM", "ABOVE", (5, 1)) - 0.3) < 1e-12 and abs(walked(spark, swallowed, "AVERAGE", "ABOVE", (5, 1)) - 0.15) < 1e-12
+    assert walked(spark, [[(1, "-3")], [(1, "4")], [(1, "")], [(1, "=")]], "MAX", "ABOVE", (4, 1)) == 4 and walked(spark, blank, "PRODUCT", "ABOVE", (4, 1)) == 0
+    assert walked(spark, blank, "MAX", "ABOVE", (1, 1)) is None and walked(spark, blank, "PRODUCT", "ABOVE", (1, 1)) == 1
     spans = grid(spark, [[(2, "100"), (1, "7")]])
     assert [r.grid_col for r in spans.orderBy("cell_no").collect()] == [1, 3]
     assert tables.aggregate_range(spans, ["t"], "SUM", (1, 1), (1, 3)).first().value == 107
@@ -82,6 +86,14 @@ def test_numbering(spark):
     assert got == ["I.", "1.5", "a)", "1.6", "II.", "2.5", "b)", "-"]
 
 
+def test_numbering_of_documents(spark):
+    """Two documents that define number 1 differently, one with an override, and a third without a definition."""
+    levels = spark.createDataFrame([(1, 1, 0, 1, "decimal", "%1.", None, False, None), (2, 1, 0, 1, "upperRoman", "%1)", None, False, 4), (None, 2, 0, 1, "lowerLetter", "%1", None, False, None)], "doc_id long, num_id int, level int, start int, format string, text string, restart_after int, legal boolean, start_override int")
+    items = spark.createDataFrame([(d, k, n, 0) for d in (1, 2, 3) for k, n in enumerate((1, 1, 2))], "doc_id long, ord int, num_id int, level int")
+    got = {(r.doc_id, r.ord): r.label for r in numbering.list_labels(items, levels).collect()}
+    assert [got[d, k] for d in (1, 2, 3) for k in range(3)] == ["1.", "2.", "a", "IV)", "V)", "a", "1.", "2.", "a"]
+
+
 def test_templates(spark):
     values = F.create_map(F.lit("Name"), F.lit("{{x}}"))
     row = spark.range(1).select(templates.filled(F.lit("a {{Name}}{{ Lines.Name }} {{no}} {{"), values), templates.unresolved(F.lit("{{b}}{{a}}{{Name}}"), values)).first()
@@ -126,6 +138,9 @@ def test_compare(spark):
 def test_merging(spark):
     style = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", None), ("e", "d")], "id string, based_on string")
     assert {r.style: r.chain for r in merge.based_on_chains(style).collect()} == {"a": ["a", "b", "c"], "b": ["b", "c", "a"], "c": ["c", "a", "b"], "d": ["d"], "e": ["e", "d"]}
+    long = spark.createDataFrame([(d, f"s{k}", f"s{k + 1}") for d in (1, 2) for k in range(60 * d)], "doc_id int, id string, based_on string")
+    got = {(r.doc_id, r.style): r.chain for r in merge.based_on_chains(long, ["doc_id"]).collect()}
+    assert got[1, "s0"] == [f"s{k}" for k in range(60)] and got[2, "s100"] == [f"s{k}" for k in range(100, 120)]
 
 
 def test_budgets(spark):
