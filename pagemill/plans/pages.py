@@ -2,36 +2,45 @@
 
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as T
 from pagemill.plans.catalog import query, table
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[\t\n\f\r ]+', ' ', 'g')) AS title FROM pages")
+def _decoded(sql: str) -> str:
+    """SQL: the character references that the pages hold, decoded, and white space collapsed."""
+    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return rf"trim(regexp_replace({sql}, '[\t\n\f\r ]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title FROM pages")
 def page_titles(spark, d):
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(title, r"[\t\n\f\r ]+", " ")).alias("title"))
+    from pagemill.sources import html
 
+    return html.titles(table(spark, d, "pages"))
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '(?s)<a [^>]*href=\"([^\"]*)\"', 1))::INT AS links, len(regexp_extract_all(html, '(?i)href=\"(javascript|data|vbscript):'))::INT AS unsafe FROM pages")
-def page_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('(?s)<a [^>]*href="([^"]*)"'), F.lit(1))).alias("links"), F.regexp_count("html", F.lit('(?i)href="(javascript|data|vbscript):')).alias("unsafe"))
 
+HREFS = r"""regexp_extract_all(html, '(?s)<a [^>]*href="([^"]*)"', 1)"""
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '[\t\n\f\r ]+', ' ', 'g')) AS heading FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&')")
-def page_headings(spark, d):
-    """Through the HTML parser; the twin reads the clean h1 by pattern, and page_headings_all has the pages that both leave out."""
-    return _headings(table(spark, d, "pages").where(~F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).contains("&")))
 
+@query(f"SELECT page_id, len({HREFS})::INT AS links, len(list_filter({HREFS}, lambda u: regexp_matches(u, '(?i)^(javascript|data|vbscript):')))::INT AS unsafe, {_decoded(f"array_to_string({HREFS}, ' ')")} AS targets FROM pages")
+def page_links(spark, d):
+    """Links of the parsed tree, in order."""
+    from pagemill.sources import html
 
-@query()
-def page_headings_all(spark, d):
-    """Every page's, character references decoded."""
-    return _headings(table(spark, d, "pages"))
+    pages = table(spark, d, "pages")
+    links = html.nodes(pages).where("name = 'a' and map_contains_key(attrs, 'href')").select("page_id", "node_id", F.element_at("attrs", "href").alias("url"))
+    urls = F.array_sort(F.collect_list(F.struct("node_id", "url")))
+    found = links.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("links"), F.count_if(T.unsafe_link("url")).cast("int").alias("unsafe"), F.array_join(F.transform(urls, lambda x: x["url"]), " ").alias("targets"))
+    return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("unsafe", F.lit(0)).alias("unsafe"), F.coalesce("targets", F.lit("")).alias("targets"))
 
 
-def _headings(pages):
+@query(f"SELECT page_id, {_decoded("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")} AS heading FROM pages")
+def page_headings(spark, d):
+    """The first heading of every page, through the HTML parser."""
     from pagemill.sources import html
 
-    return html.blocks(pages).where("kind = 'heading' and level = 1").groupBy("page_id").agg(F.trim(F.min_by("text", "ord")).alias("heading"))
+    return html.blocks(table(spark, d, "pages")).where("kind = 'heading' and level = 1").groupBy("page_id").agg(F.trim(F.min_by("text", "ord")).alias("heading"))
 
 
 @query()

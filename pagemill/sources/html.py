@@ -717,5 +717,10 @@ def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return _map(pages, rows, "node_id int, parent_id int, ord int, kind string, name string, attrs map<string,string>, text string", id_col, html_col)
 
 
+def titles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """The title of every page, character references decoded; null without one."""
+    return _map(pages, lambda h: [(title(parse(h)),)], "title string", id_col, html_col)
+
+
 def diagnostics(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     return _map(pages, lambda h: [(k, *x) for k, x in enumerate(page_blocks(h)[1])], "ord int, kind string, subject string", id_col, html_col)
