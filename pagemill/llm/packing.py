@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import arrow_map, as_texts, batch, chunks
-from pagemill.llm.words import encoder
+from pagemill.llm.words import ENCODE_CHARS, encoder
 
 POOL, LEAST_CUT = 2048, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long, ids array<int>"
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
 
         for b in batches:
             names, texts, prompts = b.column(0).to_pylist(), as_texts(b.column(1)), b.column(2).to_pylist()
-            for s, e in chunks([len(t) for t in texts]):
+            for s, e in chunks([len(t) for t in texts], ENCODE_CHARS):
                 got, n = words.encode_batch(texts[s:e], end_id)
                 for name, ids, prompt in zip(names[s:e], np.split(got, np.cumsum(n)[:-1]), prompts[s:e], strict=True):
                     rows += packer.add(name, ids, prompt or 0)

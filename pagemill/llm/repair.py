@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import arrow_map, as_texts, batch, chunks, scratch
-from pagemill.llm.words import encoder
+from pagemill.llm.words import ENCODE_CHARS, encoder
 
 SHARD_IDS = 1 << 20
 #: A pair is frequent from so many occurrences in a shard; a rule stays from so many uses; a round that gains less is the last.
@@ -201,7 +201,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
         for b in batches:
             names, texts = b.column(0).to_pylist(), as_texts(b.column(1))
-            for s, e in chunks([len(t) for t in texts]):
+            for s, e in chunks([len(t) for t in texts], ENCODE_CHARS):
                 got, n = words.encode_batch(texts[s:e], end_id)
                 doc_ids += names[s:e]
                 counts.append(n)

@@ -3,7 +3,8 @@
 The vocabulary's pattern never matches across white space and its normaliser (NFC, white space to spaces, lower case) neither
 joins nor reorders characters across it, so the ids of a text are those of its stretches between spaces, one after another, and
 those of a stretch are its pre-tokens'. A cache holds the ids of stretches that a task has met; the library encodes the distinct
-pre-tokens of the others, many in one call. The cache starts anew at a fixed size, so memory doesn't grow with the input.
+pre-tokens of the others, many in one call. A full cache (by stretches or by their characters) keeps those met again, at most
+half of its size and none that is long, so memory doesn't grow with the input.
 
 Stretches with characters from U+0250 on (where normalisation and letter classes are the library's business), with control
 strings, or of texts with U+0000 or U+001C to U+001F (white space to Python alone) go to the library whole.
@@ -19,7 +20,10 @@ from itertools import chain, repeat
 import numpy as np
 import regex
 
-CACHE_STRETCHES = 800_000
+#: Limits of the cache: stretches, their characters, and the longest that stays when it is full.
+CACHE_STRETCHES, CACHE_CHARS, LONGEST = 250_000, 8_000_000, 256
+#: Characters of the texts that are encoded at once.
+ENCODE_CHARS = 1 << 19
 #: Characters that Python's split takes for white space and the vocabulary's pattern doesn't, and the mark between stretches.
 ODD = "\x00\x1c\x1d\x1e\x1f"
 TOGETHER = 2048
@@ -65,8 +69,29 @@ class StretchEncoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends = array("I"), array("Q", [0])
-        #: Whether a stretch ends in something other than a letter or digit.
-        self.open = bytearray()
+        #: Whether a stretch ends in something other than a letter or digit; how often each was met; characters of all.
+        self.open, self.uses, self.chars = bytearray(), np.empty(0, np.int64), 0
+
+    def shrink(self) -> None:
+        """Forgets stretches met only once lately, the least used ones beyond half of the cache, and long ones."""
+        names = list(self.known)
+        lens = np.fromiter(map(len, names), np.int64, len(names))
+        uses = np.where(lens > LONGEST, 0, self.grown(len(names)))
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > CACHE_STRETCHES // 2:
+            keep = np.sort(keep[np.argpartition(-uses[keep], CACHE_STRETCHES // 2)[: CACHE_STRETCHES // 2]])
+        ids, counts = gather(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.uint64).astype(np.int64), keep)
+        marks = np.frombuffer(self.open, np.uint8)[keep].tobytes()
+        self.forget()
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat.frombytes(ids.tobytes())
+        self.ends.frombytes(np.cumsum(counts).astype(np.uint64).tobytes())
+        self.open, self.uses, self.chars = bytearray(marks), uses[keep] >> 1, int(lens[keep].sum())
+
+    def grown(self, n: int) -> np.ndarray:
+        if len(self.uses) < n:
+            self.uses = np.concatenate((self.uses, np.zeros(n - len(self.uses), np.int64)))
+        return self.uses
 
     def forget_words(self) -> None:
         """Pre-tokens last for one call of learn."""
@@ -113,6 +138,7 @@ class StretchEncoder:
     def add(self, stretches: list[str], ids: np.ndarray, counts: np.ndarray | None) -> None:
         base, done = len(self.known), self.ends[-1]
         self.known.update(zip(stretches, range(base, base + len(stretches)), strict=True))
+        self.chars += sum(map(len, stretches))
         self.open += bytes([not w[-1].isalnum() for w in stretches])
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
         self.ends.frombytes((done + np.cumsum([len(ids)] if counts is None else counts)).astype(np.uint64).tobytes())
@@ -138,8 +164,8 @@ class StretchEncoder:
                 return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             got = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
             return np.fromiter((i for x in got for i in [*x, *tail]), np.uint32), np.array([len(x) + len(tail) for x in got], np.int64)
-        if len(self.known) > CACHE_STRETCHES:
-            self.forget()
+        if len(self.known) > CACHE_STRETCHES or self.chars > CACHE_CHARS:
+            self.shrink()
         parts = [shared_stretches(t) for t in texts]
         at, counts = self.places(parts)
         marks = [self.known[x] for x in MARKS if x in self.known]
@@ -150,6 +176,7 @@ class StretchEncoder:
                 for k in set(np.searchsorted(np.cumsum(counts), wrong + 1, "right").tolist()):
                     parts[k] = texts[k].split()
                 at, counts = self.places(parts)
+        self.grown(len(self.known))[:] += np.bincount(at, minlength=len(self.known))
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
         ends = np.frombuffer(self.ends, np.uint64).view(np.int64)
         if tail:  # a last stretch of one id
