@@ -1,9 +1,9 @@
 """Operator 5: token ids in binary shards, compressed by a Re-Pair grammar.
 
-Documents are range-partitioned and sorted by id; every partition writes shards of about ``SHARD_IDS`` ids. In a shard, rounds
-replace frequent adjacent id pairs by nonterminals: a round counts all pairs, takes those that occur often, settles overlaps for
-the more frequent pair (then the left one) and stores a rule for each pair used at least ``LEAST_USES`` times. Pairs never cross
-a document's end, so a document, or any stretch of one, decodes without the others: rules carry their expansion lengths.
+Documents are range-partitioned and sorted by id; every partition writes shards of about ``SHARD_IDS`` ids. In a shard the pair
+that occurs most often, by exact counts, is replaced everywhere by a new nonterminal, again and again until no pair occurs
+``FREQUENT`` times (ties: the pair that was found first). All places of a pair are rewritten at once, in arrays. Pairs never cross a document's
+end, so a document, or any stretch of one, decodes without the others: rules carry their expansion lengths.
 
 A shard's bytes (little-endian): magic ``PMRP``, version, then 64-bit counts (documents, ids, terminals, rules, symbols); per
 document its id (64-bit, with a validity byte), its count of ids and of symbols; per rule its left and right symbol and expansion
@@ -30,63 +30,97 @@ from pagemill.llm.common import arrow_map, as_texts, batch, chunks, scratch
 from pagemill.llm.words import ENCODE_CHARS, encoder
 
 SHARD_IDS = 1 << 20
-#: A pair is frequent from so many occurrences in a shard; a rule stays from so many uses; a round that gains less is the last.
-FREQUENT, LEAST_USES, LEAST_GAIN, ROUNDS = 24, 4, 0.05, 8
-#: Slots of the table that counts a round's pairs.
-SLOT_BITS = 18
+#: A pair is replaced while it occurs so often in its shard: a rule takes 12 bytes, and each use saves a symbol of 2 (or 4).
+FREQUENT = 24
 MAGIC, VERSION = b"PMRP", 1
 HEAD = struct.Struct("<4sIqqqqq")
 SHARDS = "part int, shard int, before long, n_docs long, n_ids long, blob binary"
 
 
-def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols of each document, rules as rows (left, right), expansion lengths of the rules)."""
-    seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
-    last[np.cumsum(counts)[counts > 0] - 1] = True
-    rules, lengths, size = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], terminals
-    slots = 1 << SLOT_BITS
-    pairs = np.zeros(slots + 1, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST_USES:
-            break
-        width = np.int64(size)
-        key = seq[:-1] * width + seq[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        slot[last[:-1]] = slots
-        # A slot counts one of its pairs, most likely its most frequent one; others wait for a later round.
-        pairs[slot] = key
-        own = pairs[slot] == key
-        own &= ~last[:-1]
-        n = np.bincount(slot[own], minlength=slots + 1)
-        heavy = n[slot]
-        heavy *= own
-        pick = heavy >= FREQUENT
-        pick[1:] &= heavy[1:] > heavy[:-1]
-        pick[:-1] &= heavy[:-1] >= heavy[1:]
-        where = np.flatnonzero(pick)
-        used = slot[where]
-        kept = np.bincount(used, minlength=slots + 1) >= LEAST_USES
-        stays = kept[used]
-        where, used = where[stays], used[stays]
-        gain = len(where) / len(seq)
-        if not len(where):
-            break
-        name = np.cumsum(kept) - 1 + size
-        seq[where] = name[used]
-        last[where] = last[where + 1]
-        stay = np.ones(len(seq), bool)
-        stay[where + 1] = False
-        made = np.stack((pairs[kept] // width, pairs[kept] % width), 1)
-        upto = np.concatenate(lengths)
-        lengths.append(sum(np.where(made[:, c] < terminals, 1, upto[np.maximum(made[:, c] - terminals, 0)] if len(upto) else 1) for c in (0, 1)))
-        rules.append(made)
-        size += len(made)
-        seq, last = seq[stay], last[stay]
-        if gain < LEAST_GAIN:
-            break
+def groups(keys: np.ndarray, at: np.ndarray, frequent: int) -> list[tuple[int, np.ndarray]]:
+    """(key, its positions in ascending order) of the keys that occur so often; keys aren't negative, positions ascend for each key."""
+    n = len(keys)
+    if n < frequent:
+        return []
+    bits = int(at.max()).bit_length()
+    if int(keys.max()).bit_length() + bits < 64:
+        both = (keys << bits) | at
+        both.sort()
+        keys, at = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+    # A key occurs so often where it still stands so many places further on.
+    start, found = np.flatnonzero(keys[frequent - 1 :] == keys[: n - frequent + 1]), []
+    if len(start):
+        start = start[np.concatenate(([True], keys[start[1:]] != keys[start[:-1]]))]
+        end = np.searchsorted(keys, keys[start], "right")
+        found = [(k, at[i:j].copy()) for k, i, j in zip(keys[start].tolist(), start.tolist(), end.tolist(), strict=True)]
+    return found
+
+
+def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols of each document, rules as rows (left, right) in order of depth, expansion lengths of the rules)."""
+    n = len(ids)
+    # Live positions are a linked list for each document; n stands for no position, -1 for a symbol that is gone.
+    seq, after, before = np.append(ids.astype(np.int64), -1), np.arange(1, n + 2), np.arange(-1, n)
+    ends = np.cumsum(counts)[counts > 0]
+    starts = np.concatenate(([0], ends[:-1])) if n else ends
+    after[ends - 1], before[starts] = n, n
+    wide = (terminals + n // frequent).bit_length()
+    inside = np.flatnonzero(after[:n] < n)
+    held = dict(groups(seq[inside] << wide | seq[inside + 1], inside, frequent))
+    # Pairs by their counts. No pair of older symbols arises later, so counts only fall, and new pairs occur no more often than the
+    # pair that made them: the greatest count falls steadily, and a pair whose count is out of date is moved when its turn comes.
+    by_count: dict[int, list[int]] = {}
+    for key, at in held.items():
+        by_count.setdefault(len(at), []).append(key)
+    rules: list[tuple[int, int]] = []
+    lengths: list[int] = []
+    depths: list[int] = []
+    for queued in range(max(by_count, default=0), frequent - 1, -1):
+        turn = by_count.pop(queued, [])
+        for key in turn:
+            left, right = key >> wide, key & ((1 << wide) - 1)
+            at = held.pop(key)
+            at = at[seq.take(at) == left]
+            at = at[seq.take(after.take(at)) == right]
+            where = at
+            if left == right and len(at) > 1:  # of a run of one symbol every second place
+                first = np.concatenate(([True], after[at[:-1]] != at[1:]))
+                index = np.arange(len(at))
+                where = at[(index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0]
+            if (now := len(where)) < frequent:
+                continue
+            if now < queued:
+                held[key] = at
+                by_count.setdefault(now, []).append(key)
+                continue
+            made = terminals + len(rules)
+            rules.append((left, right))
+            lengths.append(sum(1 if x < terminals else lengths[x - terminals] for x in (left, right)))
+            depths.append(1 + max(0 if x < terminals else depths[x - terminals] for x in (left, right)))
+            gone = after.take(where)
+            follow = after.take(gone)
+            seq[where], seq[gone], after[where], before[follow] = made, -1, follow, where
+            ahead = before.take(where)
+            one, two = seq.take(ahead), seq.take(follow)
+            # The new symbol's neighbours: twice the symbol, and one more for those that follow; two new ones side by side count once.
+            ok_one, ok_two = (one >= 0) & (one != made), two >= 0
+            keys = np.concatenate((one[ok_one] << 1, two[ok_two] << 1 | 1))
+            for x, at in groups(keys, np.concatenate((ahead[ok_one], where[ok_two])), frequent):
+                fresh = made << wide | x >> 1 if x & 1 else x >> 1 << wide | made
+                held[fresh] = at
+                (turn if len(at) == queued else by_count.setdefault(len(at), [])).append(fresh)
+    alive = seq[:n] >= 0
     per = np.zeros(len(counts), np.int64)
-    per[counts > 0] = np.diff(np.flatnonzero(last), prepend=-1)
-    return seq, per, np.concatenate(rules), np.concatenate(lengths)
+    if n:
+        per[counts > 0] = np.add.reduceat(alive, starts, dtype=np.int64)
+    order = np.argsort(depths, kind="stable")
+    name = np.arange(terminals + len(rules))
+    name[terminals + order] = np.arange(terminals, terminals + len(rules))
+    table = name[np.array(rules, np.int64).reshape(-1, 2)[order]] if rules else np.empty((0, 2), np.int64)
+    return name[seq[:n][alive]], per, table, np.array(lengths, np.int64)[order] if rules else np.empty(0, np.int64)
 
 
 def write_shard(doc_ids: list, counts: np.ndarray, ids: np.ndarray, terminals: int) -> bytes:
