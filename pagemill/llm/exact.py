@@ -3,8 +3,8 @@
 Texts are equal when their normalised bytes (without U+0020 and U+0009 to U+000D) have the same SHA-256. Each task summarises the
 digests it sees with Misra-Gries counters; a digest with more than a share ``hot`` of all rows is surely among the candidates,
 and a second count over the candidates verifies them. There are at most 1/hot winners, whatever the input, so they are broadcast
-and their rows are settled map-side. All other digests, none of them with more than that share, are settled after a shuffle of
-(digest, id, length) rows. Of equal texts the row with the most code points stays, then that with the smallest id.
+and their rows are settled map-side. All other digests, none of them with more than that share, are counted by partial aggregates
+of (digest, id, length) rows, and a join tells their rows. Of equal texts the row with the most code points stays, then that with the smallest id.
 
 Defined results: a null text counts as empty, and empty texts are equal; a null id sorts last; rows that repeat id and text share
 one verdict in ``resolve`` (``deduplicate`` keeps one of them, and one of each text without an id); an empty table gives no rows; other columns are never read by
@@ -20,13 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagemill.llm.common import arrow_map, as_bytes, batch, stored
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Share of all rows from which a digest is hot, and counters of a task's summary: more than 1 / HOT, or it would miss some.
 HOT, COUNTERS = 1 / 256, 1024
+#: The row that stays, of digests' rows.
+BEST_ORDER = "struct(-n_points AS less, doc_id IS NULL AS last, doc_id)"
 
 
 def normalised(text: bytes) -> bytes:
@@ -77,8 +78,7 @@ def heavy(rows: DataFrame, hot: float, counters: int) -> DataFrame:
     least = total * hot
     # The summed counts are too low by at most total / (counters + 1): no hot digest is missed, and at most 1 / (hot - 1 / (counters + 1)) pass.
     candidates = found.where("digest is not null").groupBy("digest").agg(F.sum("least").alias("least")).where(F.col("least") >= least - total / (counters + 1)).select("digest")
-    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("last"), "doc_id")).alias("best")
-    counted = rows.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), best)
+    counted = rows.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.expr(BEST_ORDER)).alias("best"))
     return counted.where(F.col("group_size") >= max(2, least)).select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"))
 
 
@@ -91,10 +91,10 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, hot: float, counters:
     split = rows.join(F.broadcast(winners), "digest", "left")
     columns = ["doc_id", "keep_id", "keep_points", "group_size", "n_points", "digest"]
     settled = split.where("group_size is not null").select(columns)
-    by = Window.partitionBy("digest")
-    order = by.orderBy(F.col("n_points").desc(), F.col("doc_id").asc_nulls_last())
     rest = split.where("group_size is null").select("digest", "doc_id", "n_points")
-    rest = rest.withColumns({"keep_id": F.first("doc_id").over(order), "keep_points": F.first("n_points").over(order), "group_size": F.count(F.lit(1)).over(by)})
+    # Copies meet as partial counts and minima, and the rows then meet one row for each digest: no group is one task's work.
+    best = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.expr(BEST_ORDER)).alias("best")).select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"))
+    rest = rest.join(best, "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
     return settled.unionByName(rest.select(columns)).select("doc_id", "keep_id", F.col("group_size").cast("long"), kept.alias("kept"), "digest", "n_points")
 
@@ -109,12 +109,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # A row is known by its id (0 and a mark for none), its digest and its length.
     known = ["__id", "__none", "__digest", "__points"]
     verdict = verdicts(docs, id_col, text_col, HOT, COUNTERS).where("kept")
-    verdict = verdict.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.isnull("doc_id").alias("__none"), F.col("digest").alias("__digest"), F.col("n_points").alias("__points")).distinct()
+    names = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.isnull("doc_id").alias("__none"), F.col("digest").alias("__digest"), F.col("n_points").alias("__points")]
+    verdict = verdict.select(names).groupBy(known).agg(F.count(F.lit(1)).alias("__rows"))
     id_, text = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
     digest = F.unhex(F.sha2(F.translate(text, SPACES.decode(), "").cast("binary"), 256))
-    rows = docs.withColumns({"__id": F.coalesce(id_, F.lit(0)), "__none": F.isnull(id_), "__digest": digest, "__points": F.length(text).cast("long")})
-    first = F.row_number().over(Window.partitionBy(known).orderBy(text_col))
-    return rows.withColumn("__row", first).where("__row = 1").join(verdict, known, "left_semi").select(docs.columns)
+    rows = docs.withColumns({"__id": F.coalesce(id_, F.lit(0)), "__none": F.isnull(id_), "__digest": digest, "__points": F.length(text).cast("long")}).join(verdict, known)
+    # Where several rows are known by the same, which takes repeated ids or rows without one, they meet as partial minima.
+    again = rows.where("__rows > 1").groupBy(known).agg(F.min_by(F.struct(docs.columns), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__row"))
+    return rows.where("__rows = 1").select(docs.columns).unionByName(again.select("__row.*"))
 
 
 def op8_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
