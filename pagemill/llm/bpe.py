@@ -1,9 +1,10 @@
 """Operator 1: byte-level BPE encoding and decoding with a pair occurrence index.
 
-The distinct pre-tokens of a batch that aren't yet known lie, in groups, in one array of symbols. An index maps every adjacent pair that has a rank to all its
-positions. Active ranks are applied in ascending order: the positions of the lowest are merged from left to right, and the two
-neighbouring pairs of each merge move to their new lists. What a pre-token became is kept for the next batches of the task, in a
-cache that starts anew when it holds ``CACHE_WORDS`` of them, so memory doesn't grow with the input.
+All distinct pre-tokens of a stretch of a partition that aren't yet known lie in one array of symbols. An index maps every adjacent
+pair that has a rank to all its positions. Active ranks are applied in ascending order: the positions of the lowest are merged from
+left to right, and the two neighbouring pairs of each merge move to their new lists. A stretch holds ``INDEX_CHARS`` of text (one
+longer text is a stretch of its own), so that an index has a bounded size. What a pre-token became is kept for the next stretches,
+in a cache that starts anew when it is full, by its pre-tokens or by their characters, so memory doesn't grow with the input.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; repeated rows give repeated
 results; other columns of the input are neither read nor returned; whole texts are encoded, however long.
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.common import arrow_map, as_texts, batch, chunks
 
-CACHE_WORDS = 700_000
-#: Pre-tokens that share one index: its lists then stay in the processor's cache.
-GROUP = 1024
+CACHE_WORDS, CACHE_CHARS = 700_000, 16_000_000
+#: Characters of the texts whose unknown pre-tokens share one index.
+INDEX_CHARS = 1 << 22
 #: How byte-level BPE vocabularies split a text (GPT-2's published pattern) and spell its bytes.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,7 +67,7 @@ class PairIndexBpe:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.ends = array("I"), array("Q", [0])
+        self.flat, self.ends, self.chars = array("I"), array("Q", [0]), 0
 
     def merge_all(self, words: Iterable[bytes]) -> list[list[int]]:
         """Ids of each word; all words share one pair occurrence index."""
@@ -151,7 +152,7 @@ class PairIndexBpe:
 
     def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in order, and how many each text has."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.forget()
         parts: list[list[str]] = []
         for t in texts:
@@ -174,8 +175,8 @@ class PairIndexBpe:
             distinct = dict.fromkeys(pieces)
             plain = [p for p in distinct if p not in self.special]
             ids = {t: [i] for t, i in self.special.items()}
-            for i in range(0, len(plain), GROUP):
-                ids.update(zip(plain[i : i + GROUP], self.merge_all(p.encode() for p in plain[i : i + GROUP]), strict=True))
+            ids.update(zip(plain, self.merge_all(p.encode() for p in plain), strict=True))
+            self.chars += sum(map(len, fresh))
             base, flat, ends, at = len(self.ends) - 1, self.flat, self.ends, 0
             for k, u in enumerate(fresh):
                 known[u] = base + k
@@ -193,7 +194,7 @@ class PairIndexBpe:
         return out, counts
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for a, b in chunks([len(t) for t in texts]):
+        for a, b in chunks([len(t) for t in texts], INDEX_CHARS):
             ids, counts = self.lookup(texts[a:b])
             yield from np.split(ids, np.cumsum(counts)[:-1])
 
