@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import arrow_map, as_texts, batch, chunks
@@ -151,5 +151,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
     return arrow_map(docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"), prompt), run, PIECES)
 
 
+def first_line_words(text: Column) -> Column:
+    """Words of the first line of a text that has more lines, else 0: that line counts as a prompt, and bears no loss."""
+    line = F.trim(F.substring_index(text, "\n", 1))
+    return F.when(F.instr(text, "\n") > 0, F.size(F.filter(F.split(line, r"\s+"), lambda x: x != ""))).otherwise(0)
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False).drop("ids")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pack(docs.withColumn("prompt", first_line_words(F.col("text"))), prompt_col="prompt", with_ids=False).drop("ids")
