@@ -2,6 +2,7 @@
 
 A text's features are its distinct shingles of five words (fewer words: one shingle of them all), weighted by tf * idf. Document
 frequencies count all documents, in a table of ``2**DF_BITS`` buckets of hashed shingles, so the broadcast table has a fixed size.
+What rare shingles add to every bucket, the table's median, is taken off: however many there are, frequent ones stand out.
 Improved consistent weighted sampling (Ioffe) runs in bins: a shingle's hash gives its bin and the draws r, c and beta, and a bin's
 sample is the pair (shingle, t) of least a = c / (y e^r). Empty bins copy others by a fixed sequence of draws. ``BANDS`` bands of
 ``ROWS`` samples give candidates, which are verified by the weighted Jaccard similarity of their whole texts.
@@ -133,7 +134,11 @@ def small_chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """1 + SPREAD * ln(1 + documents / document frequency) / ln(1 + documents) of each bucket, over all rows of docs (text)."""
+    """1 + SPREAD * ln(1 + documents / document frequency) / ln(1 + documents) of each bucket, over all rows of docs (text).
+
+    A bucket's count is its frequent shingle's, if it has one, and that of the rare ones that share the bucket. The latter is much the
+    same in all buckets, and the median of all buckets stands for it.
+    """
     each = (1 << DF_BITS) // DF_CHUNKS
 
     def count(batches):
@@ -168,7 +173,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     for k, rows, counts in arrow_map(arrow_map(docs.select("text"), count, kind).repartition("chunk"), add, kind).collect():  # 2**DF_BITS counts, whatever the input
         table[k] = np.frombuffer(counts, np.int64)
         n += rows
-    return (1 + SPREAD * np.log1p(n / np.maximum(table.reshape(-1), 1)) / np.log1p(max(n, 1))).astype(np.float32)
+    counts = np.clip(table.reshape(-1) - int(np.median(table)), 1, max(n, 1))
+    return (1 + SPREAD * np.log1p(n / counts) / np.log1p(max(n, 1))).astype(np.float32)
 
 
 def node_bands(docs: DataFrame, idf) -> DataFrame:
