@@ -1,4 +1,4 @@
-"""The formula language: a driver-side parser that compiles a literal formula into one Column expression.
+"""The formula language: a parser that compiles a literal formula into one Column expression, or evaluates one with plain numbers.
 
 Anything that can't be evaluated (unknown names, division by zero, wrong counts of arguments) is null, never an error.
 
@@ -9,6 +9,7 @@ Anything that can't be evaluated (unknown names, division by zero, wrong counts
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Mapping
 
@@ -80,8 +81,84 @@ FUNCTIONS: dict[str, tuple[int, Callable]] = {
 }
 
 
+class Columns:
+    """What the parser builds with: Columns."""
+
+    number, fold = staticmethod(number), staticmethod(fold)
+    functions = FUNCTIONS
+    named = staticmethod(lambda x: x.cast("double"))
+    text_number = staticmethod(lambda text: to_number(F.lit(text)))
+    compare = staticmethod(lambda op, a, b: flag(COMPARISONS[op](a, b)))
+    add, subtract = staticmethod(lambda a, b: a + b), staticmethod(lambda a, b: a - b)
+    times, over = staticmethod(lambda a, b: a * b), staticmethod(lambda a, b: a / F.nullif(b, number(0)))
+    power, minus = staticmethod(F.pow), staticmethod(lambda a: -a)
+    known = staticmethod(lambda a: flag(a.isNotNull()))
+
+
+def _strict(f: Callable) -> Callable:
+    """f over numbers; null if an argument is, or if there is no finite result."""
+
+    def run(*xs):
+        if any(x is None for x in xs):
+            return None
+        try:
+            out = float(f(*xs))
+        except (ArithmeticError, ValueError, TypeError):
+            return None
+        return out if math.isfinite(out) else None
+
+    return run
+
+
+def _plain_rounded(x: float, places: float) -> float:
+    places = int(min(math.trunc(places), 15))
+    size = 10.0 ** abs(places)
+    if places >= 0:
+        return math.copysign(math.floor(abs(x) * size + 0.5 + abs(x) * size * 2e-16) / size, x)
+    return math.copysign(math.floor(abs(math.trunc(x)) / size + 0.5) * size, x)
+
+
+def _plain_text_number(text: str) -> float | None:
+    text = text.strip().replace(",", "")
+    return float(text) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)", text) else None
+
+
+def _plain_fold(kind: str, xs: list) -> float | None:
+    if not xs:
+        return {"SUM": 0.0, "COUNT": 0.0, "PRODUCT": 1.0}.get(kind)
+    rules = {"SUM": lambda *v: sum(v), "AVERAGE": lambda *v: sum(v) / len(v), "COUNT": lambda *v: len(v), "MIN": min, "MAX": max, "PRODUCT": lambda *v: math.prod(v)}
+    return _strict(rules[kind] if len(xs) > 1 or kind not in ("MIN", "MAX") else lambda v: v)(*xs)
+
+
+class Numbers:
+    """What the parser builds with: numbers, null where there is none."""
+
+    fold = staticmethod(_plain_fold)
+    number, named, text_number = staticmethod(float), staticmethod(lambda x: x), staticmethod(_plain_text_number)
+    compare = staticmethod(lambda op, a, b: _strict(COMPARISONS[op])(a, b))
+    add, subtract = staticmethod(_strict(lambda a, b: a + b)), staticmethod(_strict(lambda a, b: a - b))
+    times, over = staticmethod(_strict(lambda a, b: a * b)), staticmethod(_strict(lambda a, b: a / b))
+    power, minus = staticmethod(_strict(lambda a, b: math.pow(a, b))), staticmethod(_strict(lambda a: -a))
+    known = staticmethod(lambda a: float(a is not None))
+    functions: dict[str, tuple[int, Callable]] = {
+        "ABS": (1, _strict(abs)),
+        "INT": (1, _strict(math.trunc)),
+        "SIGN": (1, _strict(lambda x: (x > 0) - (x < 0))),
+        "NOT": (1, _strict(lambda x: x == 0)),
+        "AND": (2, _strict(lambda a, b: a != 0 and b != 0)),
+        "OR": (2, _strict(lambda a, b: a != 0 or b != 0)),
+        "MOD": (2, _strict(lambda a, b: a - math.trunc(a / b) * b)),
+        "ROUND": (2, _strict(_plain_rounded)),
+        "IF": (3, _strict(lambda c, a, b: a if c != 0 else b)),
+        "TRUE": (0, lambda: 1.0),
+        "FALSE": (0, lambda: 0.0),
+    }
+
+
 class Compiler:
-    """names: Columns by upper-case name; ranges: lists of Columns (cells) by upper-case name, for list functions."""
+    """names: values by upper-case name; ranges: lists of values (cells) by upper-case name, for list functions; of, what they are."""
+
+    of = Columns
 
     def __init__(self, formula: str, names: Mapping[str, Column] | None = None, ranges: Mapping[str, list[Column]] | None = None):
         self.names, self.ranges = names or {}, ranges or {}
@@ -103,48 +180,48 @@ class Compiler:
             return self.tokens[self.at - 1]
         return ""
 
-    def whole(self) -> Column:
+    def whole(self):
         out = self.comparison()
         if self.at < len(self.tokens):
             raise NotEvaluable("input is left over")
         return out
 
-    def comparison(self) -> Column:
+    def comparison(self):
         left = self.sum()
         if op := self.take(*COMPARISONS):
-            return flag(COMPARISONS[op](left, self.sum()))
+            return self.of.compare(op, left, self.sum())
         return left
 
     def sum(self) -> Column:
         out = self.product()
         while op := self.take("+", "-"):
             right = self.product()
-            out = out + right if op == "+" else out - right
+            out = self.of.add(out, right) if op == "+" else self.of.subtract(out, right)
         return out
 
     def product(self) -> Column:
         out = self.power()
         while op := self.take("*", "/"):
             right = self.power()
-            out = out * right if op == "*" else out / F.nullif(right, number(0))
+            out = self.of.times(out, right) if op == "*" else self.of.over(out, right)
         return out
 
     def power(self) -> Column:
         out = self.signed()
         while self.take("^"):
-            out = F.pow(out, self.signed())
+            out = self.of.power(out, self.signed())
         return out
 
     def signed(self) -> Column:
         if self.take("-"):
-            return -self.signed()
+            return self.of.minus(self.signed())
         self.take("+")
         return self.percent()
 
     def percent(self) -> Column:
         out = self.primary()
         while self.take("%"):
-            out = out / 100
+            out = self.of.over(out, self.of.number(100))
         return out
 
     def primary(self) -> Column:
@@ -157,19 +234,19 @@ class Compiler:
             self.close()
             return out
         if token[0] == '"':
-            return to_number(F.lit(token[1:-1]))
+            return self.of.text_number(token[1:-1])
         if token[0].isdigit() or token[0] == ".":
             try:
-                return number(float(token))
+                return self.of.number(float(token))
             except ValueError:
                 raise NotEvaluable(token) from None
         name = token.upper()
         if self.take("("):
             return self.call(name)
         if name in ("TRUE", "FALSE"):
-            return FUNCTIONS[name][1]()
+            return self.of.functions[name][1]()
         if name in self.names:
-            return self.names[name].cast("double")
+            return self.of.named(self.names[name])
         raise NotEvaluable(token)
 
     def close(self) -> None:
@@ -191,22 +268,22 @@ class Compiler:
                     break
             self.close()
         if name in LISTS:
-            return fold(name, args)
-        if name not in FUNCTIONS or FUNCTIONS[name][0] != len(args):
+            return self.of.fold(name, args)
+        if name not in self.of.functions or self.of.functions[name][0] != len(args):
             raise NotEvaluable(name)
-        return FUNCTIONS[name][1](*args)
+        return self.of.functions[name][1](*args)
 
     def defined(self) -> Column:
         try:
             out = self.comparison()
             self.close()
-            return flag(out.isNotNull())
+            return self.of.known(out)
         except NotEvaluable:
             depth = 1
             while depth and self.peek():
                 depth += {"(": 1, ")": -1}.get(self.peek(), 0)
                 self.at += 1
-            return number(0)
+            return self.of.number(0)
 
 
 def compile_formula(formula: str, names: Mapping[str, Column] | None = None, ranges: Mapping[str, list[Column]] | None = None) -> Column:
@@ -217,6 +294,18 @@ def compile_formula(formula: str, names: Mapping[str, Column] | None = None, ran
         return NULL("double")
 
 
+class Evaluator(Compiler):
+    of = Numbers
+
+
+def evaluate_formula(formula: str, names: Mapping[str, float] | None = None, ranges: Mapping[str, list[float]] | None = None) -> float | None:
+    """The formula's value for formulas that only rows know; None where it can't be evaluated."""
+    try:
+        return Evaluator(formula.lstrip().removeprefix("="), {k.upper(): v for k, v in (names or {}).items()}, {k.upper(): v for k, v in (ranges or {}).items()}).whole()
+    except NotEvaluable:
+        return None
+
+
 def cell_reference(name: str) -> tuple[int, int] | None:
     """(row, column), from 1, of a name such as B3."""
     m = re.fullmatch(r"([A-Za-z]{1,3})([1-9]\d*)", name)

@@ -39,14 +39,28 @@ def parse_instruction(text: str | None) -> dict | None:
 
 
 def instruction(text: Column) -> Column:
-    """A field instruction's name, arguments and switches."""
-
-    @F.pandas_udf(INSTRUCTION)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [parse_instruction(t) or {"name": None, "args": None, "switches": None} for t in texts]
-        return pd.DataFrame(rows, columns=["name", "args", "switches"])
-
-    return run(text)
+    """A field instruction's name, arguments and switches, as parse_instruction has them; all null for a blank one."""
+    word = r'"(?:[^"\\]|\\.)*"'
+    raw = F.regexp_extract_all(text, F.lit(word + r'|\\[^\s"\\]|\S+'), F.lit(0))
+    switch = lambda w: w.rlike(r'^\\[^\s"\\]$')
+    plain = lambda w: F.when(w.rlike("(?s)^" + word + "$"), F.regexp_replace(F.substring(w, F.lit(2), F.length(w) - 2), r"(?s)\\(.)", "$1")).otherwise(w)
+    first = F.when(switch(raw[0]), F.substring(raw[0], F.lit(2), F.lit(1))).otherwise(plain(raw[0]))
+    formula = first.startswith("=") & (F.length(first) > 1)
+    none = F.array().cast("array<struct<name:string,arg:string>>")
+    start = F.struct(F.when(formula, F.array(F.substring(first, F.lit(2), F.length(first)))).otherwise(F.array().cast("array<string>")).alias("args"), none.alias("switches"), F.lit(False).alias("wants"))
+
+    def step(s: Column, w: Column) -> Column:
+        last = F.get(s["switches"], F.size(s["switches"]) - 1)
+        name = F.substring(w, F.lit(2), F.lit(1))
+        named = F.struct(s["args"].alias("args"), F.concat(s["switches"], F.array(F.struct(name.alias("name"), F.lit(None).cast("string").alias("arg")))).alias("switches"), F.lower(name).isin(*WITH_ARGUMENT).alias("wants"))
+        argued = F.struct(s["args"].alias("args"), F.concat(F.slice(s["switches"], F.lit(1), F.size(s["switches"]) - 1), F.array(F.struct(last["name"].alias("name"), plain(w).alias("arg")))).alias("switches"), F.lit(False).alias("wants"))
+        added = F.struct(F.concat(s["args"], F.array(plain(w))).alias("args"), s["switches"].alias("switches"), F.lit(False).alias("wants"))
+        return F.when(switch(w), named).when(s["wants"], argued).otherwise(added)
+
+    read = F.aggregate(F.slice(raw, F.lit(2), F.size(raw) - 1), start, step)
+    whole = F.struct(F.when(formula, "=").otherwise(F.upper(first)).alias("name"), read["args"].alias("args"), read["switches"].alias("switches"))
+    blank = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<string>").alias("args"), F.lit(None).cast("array<struct<name:string,arg:string>>").alias("switches"))
+    return F.when(F.coalesce(F.size(raw), F.lit(0)) > 0, whole).otherwise(blank)
 
 
 def field_spans(marks: list[tuple[int, str]]) -> list[tuple[int, int | None, int]]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.functions.formula import cell_reference, compile_formula
+from pagemill.functions.formula import cell_reference, compile_formula, evaluate_formula
 from pagemill.functions.pictures import date_format_of, numeric_picture
 
 FORMULAS = [
@@ -24,6 +24,8 @@ def test_formulas(spark):
     row = spark.range(1).select(*[compile_formula(f, {"x": F.lit(3.0)}).alias(f"c{k}") for k, (f, _) in enumerate(FORMULAS)]).first()
     for (f, want), got in zip(FORMULAS, row, strict=True):
         assert got == want or (want is not None and math.isclose(got, want)), f
+        plain = evaluate_formula(f, {"x": 3.0})
+        assert plain == want or (want is not None and math.isclose(plain, want)), f
 
 
 def test_cell_reference():

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemill.operators import budget, fields, merge, numbering, revisions, search, styles, tables, templates
+from pagemill.operators import budget, editing, field_update, fields, merge, numbering, revisions, search, styles, tables, templates
 from pagemill.operators.numbering import cardinal, number_text, ordinal_words
 
 
@@ -68,6 +68,14 @@ def test_instructions():
     assert fields.field_spans([(0, "begin"), (2, "begin"), (4, "separate"), (5, "end"), (7, "separate"), (9, "end"), (10, "begin")]) == [(0, 7, 9), (2, 4, 5)]
 
 
+def test_instructions_as_expressions(spark):
+    texts = [r'IF "a b" = "c\"d" \* MERGEFORMAT \# 0.00 \h', " =SUM(ABOVE) ", "  ", "", None, r'= 1 + 2 \# "0.0 x"', r"date \@ 'x' \* Upper", r'SEQ a \r 3 \n', r'"quoted name" \r', 'QUOTE "a', r"\x y", r'REF b \h \* "first cap" z', r'QUOTE ""', r"SET \foo bar", "SEQ\n\tx"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(fields.instruction(F.col("t"))).collect()]
+    for t, r in zip(texts, got, strict=True):
+        want = fields.parse_instruction(t) or {"name": None, "args": None, "switches": None}
+        assert r.asDict(recursive=True) == want, t
+
+
 def test_properties(spark):
     f = spark.createDataFrame([(1, "TITLE", []), (1, "DOCPROPERTY", ["Client"]), (1, "DOCVARIABLE", ["V"]), (1, "QUOTE", ["q"]), (1, "PAGE", [])], "doc_id int, name string, args array<string>")
     p = spark.createDataFrame([(1, "title", "T"), (1, "client", "C")], "doc_id int, property string, value string")
@@ -160,3 +168,96 @@ def test_styles(spark):
     assert (out.bold, out.size) == (False, 14)
     runs = spark.sql("SELECT array(named_struct('start', 0, 'length', 2, 'format', 'a'), named_struct('start', 2, 'length', 0, 'format', 'b'), named_struct('start', 2, 'length', 3, 'format', 'a')) AS r").select(styles.coalesce_runs(F.col("r"))).first()[0]
     assert [(r.start, r.length) for r in runs] == [(0, 5)]
+
+
+def paragraph(spark):
+    return spark.sql("""SELECT 1 AS doc_id, 0 AS para_id, 'abcdef' AS text, array(named_struct('start', 0, 'length', 3, 'format', 'x'), named_struct('start', 3, 'length', 3, 'format', 'y')) AS runs,
+    array(named_struct('offset', 2, 'what', 'o')) AS objects, array(named_struct('offset', 1, 'kind', 'bookmark_start'), named_struct('offset', 3, 'kind', 'bookmark_end')) AS marks,
+    array(named_struct('start', 2, 'length', 2, 'kind', 'link', 'id', 5)) AS ranges""")
+
+
+def shape(r):
+    return r.text, [tuple(x) for x in r.runs], [tuple(x) for x in r.objects], [tuple(x)[:2] for x in r.marks], [(x.start, x.length) for x in r.ranges]
+
+
+def test_splices_move_what_is_anchored(spark):
+    p = paragraph(spark)
+    same = shape(p.first())
+    assert shape(editing.spliced(p, 3, 0, "").first()) == same
+    # Replacing a range as a whole leaves it over the replacement, in the format of its start.
+    assert shape(editing.spliced(p, 2, 2, "XYZ").first()) == ("abXYZef", [(0, 5, "x"), (5, 2, "y")], [], [(1, "bookmark_start"), (5, "bookmark_end")], [(2, 3)])
+    assert shape(editing.insert_text(p, 2, "--").first()) == ("ab--cdef", [(0, 5, "x"), (5, 3, "y")], [(4, "o")], [(1, "bookmark_start"), (5, "bookmark_end")], [(2, 4)])
+    assert shape(editing.insert_text(p, 4, "-").first())[-1] == [(2, 2)] and shape(editing.insert_text(p, 0, "-", F.lit("z")).first())[1] == [(0, 1, "z"), (1, 3, "x"), (4, 3, "y")]
+    assert shape(editing.remove_text(p, 1, 99).first()) == ("a", [(0, 1, "x")], [], [(1, "bookmark_start"), (1, "bookmark_end")], [(1, 0)])
+    assert shape(editing.append_text(p, "\t").first())[:2] == ("abcdef\t", [(0, 3, "x"), (3, 4, "y")])
+    got = editing.insert_object(p, 2, F.struct(F.lit(0).alias("offset"), F.lit("new").alias("what"))).first()
+    assert got.text == "ab\ufffccdef" and [tuple(o) for o in got.objects] == [(2, "new"), (3, "o")]
+    assert [tuple(r) for r in editing.apply_format(p, 2, 2, lambda f: F.upper(f)).first().runs] == [(0, 2, "x"), (2, 1, "X"), (3, 1, "Y"), (4, 2, "y")]
+    assert editing.remove_where(p, "marks", lambda m: m["kind"] == "bookmark_end").first().marks[0].offset == 1
+    empty = editing.spliced(spark.sql("SELECT cast(null as string) AS text, cast(null as array<struct<start:int,length:int,format:string>>) AS runs"), 5, 5, "new").first()
+    assert empty.text == "new" and [tuple(r) for r in empty.runs] == [(0, 3, None)]
+
+
+def test_splices_keep_runs_over_the_text(spark):
+    """Every splice of the paragraph, two of them in turn."""
+    edits = spark.createDataFrame([(s, c, n) for s in range(-1, 8) for c in range(8) for n in ("", "x", "yz")], "s int, c int, n string")
+    p = paragraph(spark).crossJoin(edits)
+    for r in editing.spliced(editing.spliced(p, F.col("s"), F.col("c"), F.col("n")), F.col("c"), 2, "w").collect():
+        s = max(r.s, 0)
+        want = "abcdef"[: min(s, 6)] + r.n + "abcdef"[min(s, 6) + r.c :]
+        want = want[: r.c] + "w" + want[r.c + 2 :]
+        at = 0
+        for run in r.runs:
+            assert run.start == at and run.length > 0
+            at += run.length
+        assert r.text == want and at == len(want)
+
+
+def test_comments_and_notes(spark):
+    paras = spark.createDataFrame([(1, 0, "abcdef", [(1, 4, "link", 9)]), (1, 1, "other", [])], "doc_id int, para_id int, text string, ranges array<struct<start:int,length:int,kind:string,id:int>>")
+    comments = spark.createDataFrame([(1, 3, None, "A", "old")], "doc_id int, id int, parent_id int, author string, text string")
+    added = spark.createDataFrame([(1, 0, 1, 2, "B", "first"), (1, 0, 2, 4, "C", "second")], "doc_id int, para_id int, start int, length int, author string, text string")
+    out, rows = editing.add_comments(paras, comments, added)
+    got = {r.para_id: r for r in out.collect()}
+    assert got[1].text == "other" and got[0].text == "abc\ufffcdef\ufffc"
+    assert [tuple(r) for r in got[0].ranges] == [(1, 5, "link", 9), (1, 2, "comment", 4), (2, 5, "comment", 5)]
+    rows = editing.add_replies(rows, spark.createDataFrame([(1, 4, "D", "reply"), (1, 77, "D", "to nothing")], "doc_id int, parent_id int, author string, text string"))
+    assert sorted((r.id, r.parent_id, r.text) for r in rows.collect()) == [(3, None, "old"), (4, None, "first"), (5, None, "second"), (6, 4, "reply")]
+    notes = spark.createDataFrame([], "doc_id int, kind string, id int, type string, text string")
+    notes = editing.add_notes(notes, spark.createDataFrame([(1, "footnote", "a"), (1, "footnote", "b")], "doc_id int, kind string, text string"))
+    assert sorted((r.id, r.type) for r in notes.collect()) == [(-1, "separator"), (0, "continuationSeparator"), (1, "normal"), (2, "normal")]
+    assert editing.add_notes(notes, spark.createDataFrame([(1, "footnote", "c")], "doc_id int, kind string, text string")).where("type = 'normal'").count() == 3
+
+
+def test_structure_edits(spark):
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate("abc")], "doc_id int, ord int, text string")
+    texts = lambda df: "".join(r.text for r in df.orderBy("ord").collect())
+    assert texts(editing.insert_after(rows, spark.createDataFrame([(1, 0, "x"), (1, -1, "y")], rows.schema), ["doc_id"])) == "yaxbc"
+    assert texts(editing.removed_rows(rows, F.col("text") == "b", ["doc_id"])) == "ac" and texts(editing.cloned(rows, F.col("text") == "b", ["doc_id"])) == "abbc"
+    table = editing.add_row(editing.new_table(spark, 1, [["a", "b"]]), ["table_id"], ["c", "d", "e"])
+    assert tables.table_text(table, ["table_id"]).first().text == "a\tb\nc\td\te"
+    m = F.create_map(F.lit("Client"), F.lit("X"))
+    row = spark.range(1).select(editing.with_property(m, "client", "Y").alias("a"), editing.with_property(m, "n", "1").alias("b"), editing.property_of(m, "CLIENT").alias("c"), editing.without_property(m, "client").alias("d")).first()
+    assert (row.a, row.b, row.c, row.d) == ({"Client": "Y"}, {"Client": "X", "n": "1"}, "X", {})
+    assert editing.list_definition(spark, 7, "outline").where("level = 2").first().text == "%1.%2.%3"
+    assert fields.parse_instruction(editing.field_instruction("toc", 'a "b"', h=None, general="Upper")) == {"name": "TOC", "args": ['a "b"'], "switches": [{"name": "h", "arg": None}, {"name": "*", "arg": "Upper"}]}
+
+
+def test_field_update(spark):
+    texts = ["Title", "Fig ?, Fig ?? and ? on ?", "sum ?, is ?, see ?"]
+    paras = spark.createDataFrame([(1, k, t, "Heading 1" if k == 0 else None) for k, t in enumerate(texts)], "doc_id long, ord long, text string, style string")
+    rows = [(1, 0, "SEQ fig", 1, 4, 1), (1, 1, "SEQ fig \\* ROMAN", 1, 11, 2), (1, 2, 'STYLEREF "heading 1" \\* Upper', 1, 18, 1), (1, 3, 'CREATEDATE \\@ "dd.MM.yyyy"', 1, 23, 1)]
+    rows += [(1, 4, '= 2 * first + 1 \\# "0.0"', 2, 4, 1), (1, 5, 'IF 3 > 2 "yes, it is" no', 2, 10, 1), (1, 6, "REF Second", 2, 17, 1), (1, 7, "PAGE", 2, 0, 3)]
+    f = spark.createDataFrame(rows, "doc_id long, ord long, instruction string, para long, result_start int, result_length int")
+    marks = spark.createDataFrame([(1, "first", 1, 4, 1), (1, "second", 1, 7, 6)], "doc_id long, name string, para long, start int, length int")
+    props = spark.createDataFrame([(1, "createdate", "2026-01-02 03:04:05")], "doc_id long, property string, value string")
+    out, done = field_update.update(paras, f, properties=props, bookmarks=marks)
+    got = [r.text for r in out.orderBy("ord").collect()]
+    assert got == ["Title", "Fig 1, Fig II and TITLE on 02.01.2026", "sum 3.0, is yes, it is, see Fig II"]
+    done = {r.ord: r for r in done.collect()}
+    assert done[7].dirty and done[7].result is None and not any(done[k].dirty for k in range(7))
+    for k in range(7):
+        r = done[k]
+        assert got[r.para][r.result_start : r.result_start + r.result_length] == r.result
+    stats = {r.property: r.value for r in field_update.document_statistics(out).collect()}
+    assert stats["numlines"] == "3" and stats["numwords"] == str(sum(len(t.split()) for t in got))
