@@ -8,16 +8,17 @@ row (kind, subject), never a failed job, unless mode is FAILFAST.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.sources.package import Package
+from pagemill.sources.rows import map_rows
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -288,20 +289,17 @@ class Reader:
 def read(files: DataFrame, rows_of: str = "blocks", id_col: str = "path", limits: dict | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """The rows of every file in files (id, content), with the id before them; unreadable files have error set."""
     schema = SCHEMAS[rows_of]
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    width = len(schema.split(","))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc, content in zip(pdf[id_col], pdf["content"], strict=True):
-                try:
-                    rows = [(doc, *r, None) for r in Reader(bytes(content), limits).read(rows_of)]
-                except Exception as e:
-                    if mode == "FAILFAST":
-                        raise
-                    rows = [(doc, *[None] * len(names), f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=[id_col, *names, "error"], dtype=object)
+    def rows(doc, content: bytes | None) -> list[tuple]:
+        try:
+            return [(doc, *r, None) for r in Reader(content or b"", limits).read(rows_of)]
+        except Exception as e:
+            if mode == "FAILFAST":
+                raise
+            return [(doc, *[None] * width, f"{type(e).__name__}: {e}")]
 
-    return files.select(id_col, "content").mapInPandas(run, f"{id_col} {files.schema[id_col].dataType.simpleString()}, {schema}, error string")
+    return map_rows(files, [id_col, "content"], rows, f"{id_col} {files.schema[id_col].dataType.simpleString()}, {schema}, error string")
 
 
 def document_text(blocks: DataFrame, id_col: str = "path") -> DataFrame:
@@ -311,15 +309,48 @@ def document_text(blocks: DataFrame, id_col: str = "path") -> DataFrame:
     return joined_text(blocks.where("story = 'body' and error is null"), [id_col], "visible")
 
 
-TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
-RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.{}+xml"
+RELATIONSHIPS = "http://schemas.openxmlformats.org/package/2006/relationships"
+#: Characters that XML can't hold.
+FORBIDDEN = re.compile("[\x00-\x08\x0b-\x1f\ufffe\uffff\ud800-\udfff]")
+BREAKS = re.compile(r"([\t\n])")
 
 
-def paragraph_xml(text: str, style: str | None = None, bold: bool = False) -> str:
-    pr = f'<w:pPr><w:pStyle w:val="{escape(style, {chr(34): "&quot;"})}"/></w:pPr>' if style else ""
-    run = "<w:rPr><w:b/></w:rPr>" if bold else ""
-    pieces = "<w:br/>".join('<w:tab/>'.join(f'<w:t xml:space="preserve">{escape(t)}</w:t>' if t else "" for t in line.split("\t")) for line in "".join(c for c in text if c >= " " or c in "\t\n").split("\n"))
-    return f"<w:p>{pr}<w:r>{run}{pieces}</w:r></w:p>"
+def text_xml(text: str) -> str:
+    """A run's text elements; tabs and line feeds are elements of their own."""
+    out = FORBIDDEN.sub("", text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    if "\t" not in out and "\n" not in out:
+        return f'<w:t xml:space="preserve">{out}</w:t>' if out else ""
+    return "".join("<w:tab/>" if t == "\t" else "<w:br/>" if t == "\n" else f'<w:t xml:space="preserve">{t}</w:t>' for t in BREAKS.split(out) if t)
+
+
+def run_xml(text: str, bold: bool | None = None, italic: bool | None = None) -> str:
+    pr = ("<w:b/>" if bold else "") + ("<w:i/>" if italic else "")
+    return f"<w:r>{f'<w:rPr>{pr}</w:rPr>' if pr else ''}{text_xml(text)}</w:r>"
+
+
+def attribute(text: str) -> str:
+    return escape(FORBIDDEN.sub("", text), {'"': "&quot;"})
+
+
+def paragraph_xml(text: str, style: str | None = None, bold: bool = False, runs: list[dict] | None = None, num_id: int | None = None, level: int | None = None, links: dict[str, str] | None = None) -> str:
+    """A paragraph; runs (start, length, bold, italic, url) cover the text in order, what they leave out is plain. links: url -> relationship."""
+    pr = f'<w:pStyle w:val="{attribute(style)}"/>' if style else ""
+    if num_id:
+        pr += f'<w:numPr><w:ilvl w:val="{level or 0}"/><w:numId w:val="{num_id}"/></w:numPr>'
+    out, at = [], 0
+    for r in runs or ():
+        start, end = max(at, r["start"]), max(at, r["start"] + r["length"])
+        if start > at:
+            out.append(run_xml(text[at:start], bold))
+        if end > start:
+            one = run_xml(text[start:end], r["bold"] or bold, r["italic"])
+            out.append(f'<w:hyperlink r:id="{links[r["url"]]}">{one}</w:hyperlink>' if links and r["url"] in links else one)
+        at = end
+    if at < len(text) or not out:
+        out.append(run_xml(text[at:], bold))
+    return f"<w:p>{f'<w:pPr>{pr}</w:pPr>' if pr else ''}{''.join(out)}</w:p>"
 
 
 def table_xml(rows: list[list[str]]) -> str:
@@ -327,23 +358,77 @@ def table_xml(rows: list[list[str]]) -> str:
     return f"<w:tbl>{body}</w:tbl>"
 
 
-def package(body: str) -> bytes:
-    """A package with that body; the same bytes for the same body."""
+def styles_xml(styles: list[str]) -> str:
+    body = "".join(f'<w:style w:type="paragraph" w:styleId="{attribute(s)}"><w:name w:val="{attribute(s)}"/><w:basedOn w:val="Normal"/></w:style>' for s in styles if s != "Normal")
+    return f'{DECLARATION}<w:styles xmlns:w="{W[1:-1]}"><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>{body}</w:styles>'
+
+
+def numbering_xml(levels: dict[int, list[dict]]) -> str:
+    """num_id -> its levels (level, start, format, text, restart_after, legal), each list with a definition of its own."""
+    one = lambda v: f'<w:lvl w:ilvl="{v["level"]}"><w:start w:val="{v["start"]}"/><w:numFmt w:val="{attribute(v["format"])}"/>' + (f'<w:lvlRestart w:val="{v["restart_after"]}"/>' if v["restart_after"] is not None else "") + ("<w:isLgl/>" if v["legal"] else "") + f'<w:lvlText w:val="{attribute(v["text"])}"/></w:lvl>'
+    abstract = "".join(f'<w:abstractNum w:abstractNumId="{n}">{"".join(map(one, sorted(vs, key=lambda v: v["level"])))}</w:abstractNum>' for n, vs in sorted(levels.items()))
+    return f'{DECLARATION}<w:numbering xmlns:w="{W[1:-1]}">{abstract}{"".join(f"""<w:num w:numId="{n}"><w:abstractNumId w:val="{n}"/></w:num>""" for n in sorted(levels))}</w:numbering>'
+
+
+def package(body: str, styles: list[str] | None = None, levels: dict[int, list[dict]] | None = None, links: dict[str, str] | None = None) -> bytes:
+    """A package with that body, the styles and lists it names and the targets of its links; the same bytes for the same input."""
+    parts = {"word/document.xml": f'{DECLARATION}<w:document xmlns:w="{W[1:-1]}" xmlns:r="{R[1:-1]}"><w:body>{body}<w:sectPr/></w:body></w:document>'}
+    kinds, own = {"document": "document.main"}, []
+    for name, kind, xml in (("styles", "styles", styles and styles_xml(styles)), ("numbering", "numbering", levels and numbering_xml(levels))):
+        if xml:
+            parts[f"word/{name}.xml"], kinds[name] = xml, kind
+            own.append(f'<Relationship Id="{name}" Type="{DOC}{name}" Target="{name}.xml"/>')
+    own += [f'<Relationship Id="{i}" Type="{DOC}hyperlink" Target="{attribute(u)}" TargetMode="External"/>' for u, i in (links or {}).items()]
+    types = "".join(f'<Override PartName="/word/{n}.xml" ContentType="{TYPE.format(k)}"/>' for n, k in kinds.items())
+    files = {
+        "[Content_Types].xml": f'{DECLARATION}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>',
+        "_rels/.rels": f'{DECLARATION}<Relationships xmlns="{RELATIONSHIPS}"><Relationship Id="rId1" Type="{DOC}officeDocument" Target="word/document.xml"/></Relationships>',
+    }
+    if own:
+        files["word/_rels/document.xml.rels"] = f'{DECLARATION}<Relationships xmlns="{RELATIONSHIPS}">{"".join(own)}</Relationships>'
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in (("[Content_Types].xml", TYPES), ("_rels/.rels", RELS), ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{W[1:-1]}"><w:body>{body}<w:sectPr/></w:body></w:document>')):
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        for name, data in (files | parts).items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED, 1)
     return out.getvalue()
 
 
-def write(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, content): a package for each document of block rows (id, ord, kind, style, text); tables are lines of tabs."""
-    one = F.when(F.col("kind") == "table", F.struct("ord", F.lit("table").alias("kind"), F.lit(None).cast("string").alias("style"), "text")).otherwise(F.struct("ord", F.lit("paragraph").alias("kind"), F.col("style").cast("string").alias("style"), "text"))
-    docs = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("blocks"))
+def with_parts(content: bytes, changed: dict[str, bytes | None]) -> bytes:
+    """A package with some parts changed, added or (null) taken out; the bytes of all others are copied as they are."""
+    out, left = io.BytesIO(), dict(changed)
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for info in old.infolist():
+            name = "/" + info.filename.lstrip("/")
+            data = left.pop(name) if name in left else old.read(info)
+            if data is not None:
+                new.writestr(zipfile.ZipInfo(info.filename, info.date_time), data, info.compress_type)
+        for name, data in left.items():
+            if data is not None:
+                new.writestr(zipfile.ZipInfo(name.lstrip("/"), (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            made = ["".join(table_xml([r.split("\t") for r in b["text"].split("\n")]) if b["kind"] == "table" else paragraph_xml(b["text"] or "", b["style"]) for b in bs) for bs in pdf["blocks"]]
-            yield pd.DataFrame({id_col: pdf[id_col], "content": [package(m) for m in made]})
 
-    return docs.mapInPandas(run, f"{id_col} {blocks.schema[id_col].dataType.simpleString()}, content binary")
+def document_package(blocks: list[dict], levels: dict[int, list[dict]] | None = None) -> bytes:
+    """blocks: kind, style, text, and maybe runs, num_id and level. List numbers without levels given are decimal."""
+    urls = dict.fromkeys(r["url"] for b in blocks for r in b.get("runs") or () if r["url"])
+    links = {u: f"link{k}" for k, u in enumerate(urls, 1)}
+    styles = list(dict.fromkeys(b["style"] for b in blocks if b["kind"] != "table" and b["style"]))
+    numbers = dict.fromkeys(b["num_id"] for b in blocks if b.get("num_id"))
+    known = {n: (levels or {}).get(n) or [{"level": k, "start": 1, "format": "decimal", "text": f"%{k + 1}.", "restart_after": None, "legal": False} for k in range(9)] for n in numbers}
+    body = "".join(table_xml([r.split("\t") for r in (b["text"] or "").split("\n")]) if b["kind"] == "table" else paragraph_xml(b["text"] or "", b["style"], False, b.get("runs"), b.get("num_id"), b.get("level"), links) for b in blocks)
+    return package(body, styles, known, links)
+
+
+def write(blocks: DataFrame, id_col: str = "doc_id", levels: DataFrame | None = None) -> DataFrame:
+    """(id, content): a package for each document of block rows (id, ord, kind, style, text), with the styles they name.
+
+    Optional columns: runs (start, length, bold, italic, url) and num_id, level for lists, whose definitions are levels (num_id,
+    level, start, format, text, restart_after, legal), the same for all documents and few. Tables are lines of tabs.
+    """
+    own = [c for c in ("runs", "num_id", "level") if c in blocks.columns]
+    one = F.struct("ord", F.when(F.col("kind") == "table", "table").otherwise("paragraph").alias("kind"), F.col("style").cast("string").alias("style"), "text", *own)
+    docs = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(one), lambda a, b: a["ord"] - b["ord"]).alias("blocks"))
+    known: dict[int, list[dict]] = {}
+    for r in levels.collect() if levels is not None else ():
+        known.setdefault(r["num_id"], []).append(r.asDict())
+    return map_rows(docs, [id_col, "blocks"], lambda doc, bs: [(doc, document_package(bs, known))], f"{id_col} {blocks.schema[id_col].dataType.simpleString()}, content binary", 64)

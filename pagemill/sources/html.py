@@ -11,9 +11,10 @@ import html as entities
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from pagemill.sources.rows import map_rows
+
 VOID = set("area base br col embed hr img input link meta param source track wbr keygen basefont bgsound frame".split())
 RAW = {"style", "xmp", "iframe", "noembed", "noframes", "script"}
 RCDATA = {"title", "textarea"}
@@ -688,14 +689,7 @@ def title(document: Node) -> str | None:
 
 
 def _map(df: DataFrame, fn, columns: str, id_col: str, html_col: str) -> DataFrame:
-    names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", columns)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(i, *r) for i, h in zip(pdf[id_col], pdf[html_col], strict=True) for r in fn(h or "")]
-            yield pd.DataFrame(rows, columns=[id_col, *names])
-
-    return df.select(id_col, html_col).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {columns}")
+    return map_rows(df, [id_col, html_col], lambda i, h: ((i, *r) for r in fn(h or "")), f"{id_col} {df.schema[id_col].dataType.simpleString()}, {columns}")
 
 
 def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

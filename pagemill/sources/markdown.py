@@ -6,10 +6,11 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.sources.rows import map_rows
+
 BLOCKS = "ord int, kind string, level int, style string, text string, list_no int, marker string, task string, path array<int>"
 FRONT = re.compile(r"\A---[ \t]*\n(?:.*?\n)??(?:---|\.\.\.)[ \t]*(?:\n|\Z)", re.S)
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -298,19 +299,15 @@ def parse_inline(text: str, links: dict[str, tuple[str, str]] | None = None) ->
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """BLOCKS of every document, with plain text and (start, length, kind, url) spans in inline."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for doc, text in zip(pdf[id_col], pdf[text_col], strict=True):
-                found = parse_blocks(text or "")
-                for r in found.rows:
-                    plain, spans = (r["text"], []) if r["kind"] in ("code", "html", "rule", "table") else parse_inline(r["text"], found.links)
-                    rows.append({id_col: doc} | r | {"text": plain, "inline": [dict(zip(("start", "length", "kind", "url"), s, strict=True)) for s in spans]})
-            yield pd.DataFrame(rows, columns=[id_col, *(c.split(" ")[0] for c in BLOCKS.split(", ")), "inline"])
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, {BLOCKS}, inline array<struct<start:int,length:int,kind:string,url:string>>")
+    names = [c.split(" ")[0] for c in BLOCKS.split(", ")]
+
+    def rows(doc, text: str | None) -> Iterator[tuple]:
+        found = parse_blocks(text or "")
+        for r in found.rows:
+            plain, spans = (r["text"], []) if r["kind"] in ("code", "html", "rule", "table") else parse_inline(r["text"], found.links)
+            yield (doc, *((r | {"text": plain}).get(c) for c in names), [dict(zip(("start", "length", "kind", "url"), s, strict=True)) for s in spans])
+
+    return map_rows(docs, [id_col, text_col], rows, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {BLOCKS}, inline array<struct<start:int,length:int,kind:string,url:string>>")
 
 
 def to_markdown(rows: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -70,16 +70,14 @@ class Package:
             return None
         if b"<!DOCTYPE" in data[:4096]:
             raise ValueError(f"{part} declares a document type")
-        depth = nodes = 0
-        root = None
-        for event, e in ET.iterparse(io.BytesIO(data), ("start", "end")):
-            if event == "start":
-                root = e if root is None else root
-                depth, nodes = depth + 1, nodes + 1
-                ensure("xml_depth", depth, self.limits)
-                ensure("xml_nodes", nodes, self.limits)
-            else:
-                depth -= 1
+        # Level by level: nodes and depth without an event for each node. A part's size bounds its tree.
+        root = ET.fromstring(data)
+        level, nodes, depth = [root], 0, 0
+        while level:
+            nodes, depth = nodes + len(level), depth + 1
+            ensure("xml_depth", depth, self.limits)
+            ensure("xml_nodes", nodes, self.limits)
+            level = [c for e in level for c in e]
         return root
 
     def relationships(self, part: str = "") -> dict[str, tuple[str, str, bool]]:

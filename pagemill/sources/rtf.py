@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.sources.rows import map_rows
+
 TOKEN = re.compile(rb"\\bin(\d+) ?|\\([a-zA-Z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|([^\\{}\r\n]+)|[\r\n]+")
 #: Destinations that hold no body text, characters of control words, and code pages of font charsets.
 SKIPPED = set("fonttbl colortbl stylesheet info pict object header headerl headerr headerf footer footerl footerr footerf footnote themedata datastore listtable listoverridetable rsidtbl generator xmlnstbl latentstyles nonshppict fldinst bkmkstart bkmkend annotation atnid atnauthor".split())
@@ -126,45 +126,35 @@ def parse(raw: bytes) -> list[tuple[str, list[tuple[int, int, str]]]]:
 def write(paragraphs: list[str]) -> bytes:
     """ASCII RTF of paragraphs; the same bytes for the same texts."""
 
-    def one(c: str) -> str:
+    def one(m: re.Match) -> str:
+        c = m[0]
         if c in "\\{}":
             return "\\" + c
         if c == "\t":
             return "\\tab "
         if c == "\n":
             return "\\line "
-        if " " <= c <= "~":
-            return c
         units = c.encode("utf-16-le", "surrogatepass")
         return "".join(f"\\u{int.from_bytes(units[k : k + 2], 'little', signed=True)}?" for k in range(0, len(units), 2))
 
-    return ("{\\rtf1\\ansi\\ansicpg1252\\uc1\\deff0{\\fonttbl{\\f0 Calibri;}}\n" + "".join("\\pard " + "".join(map(one, p)) + "\\par\n" for p in paragraphs) + "}").encode("ascii")
+    return ("{\\rtf1\\ansi\\ansicpg1252\\uc1\\deff0{\\fonttbl{\\f0 Calibri;}}\n" + "".join("\\pard " + re.sub(r"[\\{}\t\n]|[^ -~]", one, p) + "\\par\n" for p in paragraphs) + "}").encode("ascii")
 
 
 def read(files: DataFrame, id_col: str = "path", mode: str = "PERMISSIVE") -> DataFrame:
     """(id, ord, text, spans, error) of every file."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for doc, raw in zip(pdf[id_col], pdf["content"], strict=True):
-                try:
-                    rows += [(doc, k, t, [dict(zip(("start", "length", "kind"), s, strict=True)) for s in spans], None) for k, (t, spans) in enumerate(parse(bytes(raw)))]
-                except RtfError as e:
-                    if mode == "FAILFAST":
-                        raise
-                    rows.append((doc, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=[id_col, "ord", "text", "spans", "error"], dtype=object)
+    def rows(doc, raw: bytes | None) -> list[tuple]:
+        try:
+            return [(doc, k, t, [dict(zip(("start", "length", "kind"), s, strict=True)) for s in spans], None) for k, (t, spans) in enumerate(parse(raw or b""))]
+        except RtfError as e:
+            if mode == "FAILFAST":
+                raise
+            return [(doc, None, None, None, str(e))]
 
-    return files.select(id_col, "content").mapInPandas(run, f"{id_col} {files.schema[id_col].dataType.simpleString()}, ord int, text string, spans array<struct<start:int,length:int,kind:string>>, error string")
+    return map_rows(files, [id_col, "content"], rows, f"{id_col} {files.schema[id_col].dataType.simpleString()}, ord int, text string, spans array<struct<start:int,length:int,kind:string>>, error string")
 
 
 def write_documents(paragraphs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, content) of paragraph rows (id, ord, text)."""
     docs = paragraphs.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda p: p["text"]).alias("ps"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({id_col: pdf[id_col], "content": [write([p or "" for p in ps]) for ps in pdf["ps"]]})
-
-    return docs.mapInPandas(run, f"{id_col} {paragraphs.schema[id_col].dataType.simpleString()}, content binary")
+    return map_rows(docs, [id_col, "ps"], lambda doc, ps: [(doc, write([p or "" for p in ps]))], f"{id_col} {paragraphs.schema[id_col].dataType.simpleString()}, content binary", 64)
