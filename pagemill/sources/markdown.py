@@ -6,7 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.sources.rows import map_rows
@@ -298,7 +298,7 @@ def parse_inline(text: str, links: dict[str, tuple[str, str]] | None = None) ->
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """BLOCKS of every document, with plain text and (start, length, kind, url) spans in inline."""
+    """BLOCKS of every document, with plain text and (start, length, kind, url) spans in inline; footnotes come last, as kind note, their label in style."""
     names = [c.split(" ")[0] for c in BLOCKS.split(", ")]
 
     def rows(doc, text: str | None) -> Iterator[tuple]:
@@ -306,53 +306,148 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for r in found.rows:
             plain, spans = (r["text"], []) if r["kind"] in ("code", "html", "rule", "table") else parse_inline(r["text"], found.links)
             yield (doc, *((r | {"text": plain}).get(c) for c in names), [dict(zip(("start", "length", "kind", "url"), s, strict=True)) for s in spans])
+        for k, (name, body) in enumerate(found.notes.items(), len(found.rows)):
+            plain, spans = parse_inline(body, found.links)
+            made = {"ord": k, "kind": "note", "style": name, "text": plain, "path": []}
+            yield (doc, *(made.get(c) for c in names), [dict(zip(("start", "length", "kind", "url"), s, strict=True)) for s in spans])
 
     return map_rows(docs, [id_col, text_col], rows, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {BLOCKS}, inline array<struct<start:int,length:int,kind:string,url:string>>")
 
 
+def inline(text: Column, spans: Column, begin, end, plain, code) -> Column:
+    """text with what begin and end give for each span (start, length, kind, url) around it; stretches go through plain, or code inside code spans.
+
+    Of spans that begin together the longest comes first, of those that end together the one that began last.
+    """
+    spans = F.filter(spans, lambda s: s["length"] > 0)
+    last = lambda s: s["start"] + s["length"]
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.length(text)), F.transform(spans, lambda s: s["start"]), F.transform(spans, last))))
+
+    def piece(at: Column, k: Column) -> Column:
+        closing = F.array_sort(F.transform(F.filter(spans, lambda s: last(s) == at), lambda s: F.struct((-s["start"]).alias("a"), s["length"].alias("b"), s["kind"].alias("kind"), s["url"].alias("url"))))
+        opening = F.array_sort(F.transform(F.filter(spans, lambda s: s["start"] == at), lambda s: F.struct((-s["length"]).alias("a"), s["kind"].alias("kind"), s["url"].alias("url"))))
+        body = F.substring(text, at + 1, F.coalesce(F.get(cuts, k + 1), at) - at)
+        inside = F.exists(spans, lambda s: (s["kind"] == "code") & (s["start"] <= at) & (at < last(s)))
+        return F.concat(F.array_join(F.transform(closing, end), ""), F.array_join(F.transform(opening, begin), ""), F.when(inside, code(body)).otherwise(plain(body)))
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(cuts, piece), "")).otherwise(plain(text))
+
+
+def _spans(rows: DataFrame) -> Column:
+    kind = "array<struct<start:int,length:int,kind:string,url:string>>"
+    return F.coalesce(F.col("inline").cast(kind), F.array().cast(kind)) if "inline" in rows.columns else F.array().cast(kind)
+
+
+def _safe(url: Column) -> Column:
+    from pagemill.functions.text import unsafe_link
+
+    return ~F.coalesce(unsafe_link(url), F.lit(True))
+
+
+MARKS = {"strong": "**", "emphasis": "*", "strike": "~~"}
+
+
+def inline_markdown(text: Column, spans: Column) -> Column:
+    """Emphasis, code, links, images and note references; links that aren't safe keep their text alone."""
+    from pagemill.functions.text import code_span, link_destination, markdown_escape
+
+    def around(s: Column, before: bool) -> Column:
+        out = F.lit("")
+        for kind, mark in MARKS.items():
+            out = F.when(s["kind"] == kind, mark).otherwise(out)
+        address = F.concat(F.lit("]("), F.coalesce(link_destination(s["url"]), F.lit("")), F.lit(")"))
+        out = F.when((s["kind"] == "link") & _safe(s["url"]), F.lit("[") if before else address).otherwise(out)
+        out = F.when(s["kind"] == "image", F.lit("![") if before else address).otherwise(out)
+        return F.when(s["kind"] == "note", "[^" if before else "]").otherwise(out)
+
+    return inline(text, spans, lambda s: around(s, True), lambda s: around(s, False), markdown_escape, code_span)
+
+
+def inline_html(text: Column, spans: Column) -> Column:
+    from pagemill.functions.text import html_escape
+
+    tags = {"strong": "strong", "emphasis": "em", "strike": "s", "code": "code"}
+
+    def around(s: Column, before: bool) -> Column:
+        out = F.lit("")
+        for kind, tag in tags.items():
+            out = F.when(s["kind"] == kind, f"<{tag}>" if before else f"</{tag}>").otherwise(out)
+        url = html_escape(F.coalesce(s["url"], F.lit("")))
+        out = F.when((s["kind"] == "link") & _safe(s["url"]), F.concat(F.lit('<a href="'), url, F.lit('">')) if before else F.lit("</a>")).otherwise(out)
+        out = F.when((s["kind"] == "image") & _safe(s["url"]), F.concat(F.lit('<img src="'), url, F.lit('" alt="')) if before else F.lit('">')).otherwise(out)
+        return F.when(s["kind"] == "note", F.concat(F.lit('<sup><a href="#fn-'), url, F.lit('" id="ref-'), url, F.lit('">')) if before else F.lit("</a></sup>")).otherwise(out)
+
+    return inline(text, spans, lambda s: around(s, True), lambda s: around(s, False), html_escape, html_escape)
+
+
 def to_markdown(rows: DataFrame, by: str = "doc_id") -> DataFrame:
-    """(by, text): Markdown of block rows, in order; line feeds alone, one at the end."""
-    from pagemill.functions.text import fence_length, markdown_escape
+    """(by, text): Markdown of block rows, in order; line feeds alone, one at the end. Spans in inline, if there, become marks."""
+    from pagemill.functions.text import fence_length
 
+    text = inline_markdown(F.col("text"), _spans(rows))
     fence = F.repeat(F.lit("`"), fence_length("text"))
     marker = F.concat(F.repeat(F.lit("    "), F.greatest(F.lit(0), F.size("path") - 1)), F.when(F.col("marker").rlike(r"^\d"), F.concat(F.regexp_extract("marker", r"^(\d+)", 1), F.lit(". "))).otherwise("- "), F.when(F.col("task") == "x", "[x] ").when(F.col("task") == " ", "[ ] ").otherwise(""))
     head = F.split(F.col("text"), "\n")
     table_rows = F.transform(head, lambda r: F.concat(F.lit("| "), F.replace(F.replace(r, F.lit("|"), F.lit("\\|")), F.lit("\t"), F.lit(" | ")), F.lit(" |")))
     line = (
-        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), markdown_escape("text")))
+        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), text))
         .when(F.col("kind") == "code", F.concat(fence, F.coalesce("style", F.lit("")), F.lit("\n"), F.col("text"), F.lit("\n"), fence))
         .when(F.col("kind") == "rule", "---")
         .when(F.col("kind") == "html", F.col("text"))
+        .when(F.col("kind") == "note", F.concat(F.lit("[^"), F.col("style"), F.lit("]: "), F.regexp_replace(text, "\n", "\n    ")))
         .when(F.col("kind") == "table", F.concat_ws("\n", F.slice(table_rows, 1, 1), F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("level"))), F.slice(table_rows, 2, 1 << 20)))
-        .when(F.col("marker").isNotNull(), F.concat(marker, markdown_escape("text")))
-        .when(F.array_contains("path", -1), F.concat(F.lit("> "), F.regexp_replace(markdown_escape("text"), "\n", "\n> ")))
-        .otherwise(markdown_escape("text"))
+        .when(F.col("marker").isNotNull(), F.concat(marker, text))
+        .when(F.array_contains("path", -1), F.concat(F.lit("> "), F.regexp_replace(text, "\n", "\n> ")))
+        .otherwise(text)
     )
-    # Neighbouring items of a list stand on neighbouring lines.
-    part = F.struct("ord", F.coalesce("list_no", F.lit(0)).alias("l"), line.alias("t"))
+    # Neighbouring items of a list, and of lists inside it, stand on neighbouring lines.
+    part = F.struct("ord", F.coalesce("list_no", F.lit(0)).alias("l"), F.size("path").alias("d"), line.alias("t"))
     ordered = F.array_sort(F.collect_list(part))
-    step = lambda s, x: F.struct(x["l"].alias("l"), F.concat(s["t"], F.when(s["t"] == "", "").when((x["l"] > 0) & (x["l"] == s["l"]), "\n").otherwise("\n\n"), x["t"]).alias("t"))
-    whole = F.aggregate(ordered, F.struct(F.lit(0).alias("l"), F.lit("").alias("t")), step, lambda s: F.concat(F.rtrim(s["t"]), F.lit("\n")))
+    near = lambda s, x: (x["l"] > 0) & (s["l"] > 0) & ((x["l"] == s["l"]) | (x["d"] > s["d"]) | ((x["d"] < s["d"]) & (x["l"] < s["l"])))
+    step = lambda s, x: F.struct(x["l"].alias("l"), x["d"].alias("d"), F.concat(s["t"], F.when(s["t"] == "", "").when(near(s, x), "\n").otherwise("\n\n"), x["t"]).alias("t"))
+    whole = F.aggregate(ordered, F.struct(F.lit(0).alias("l"), F.lit(0).alias("d"), F.lit("").alias("t")), step, lambda s: F.concat(F.rtrim(s["t"]), F.lit("\n")))
     return rows.groupBy(by).agg(whole.alias("text"))
 
 
 def to_html(rows: DataFrame, by: str = "doc_id", full_page: bool = False) -> DataFrame:
-    """(by, html): an element for each block row, in order."""
+    """(by, html): an element for each block row, in order; items in lists, nested by their paths; notes in a section at the end."""
     from pagemill.functions.text import html_escape
 
-    text = html_escape("text")
+    text = inline_html(F.col("text"), _spans(rows))
     tag = lambda name, inner: F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name}>"))
-    level = F.col("level").cast("string")
-    cell_rows = F.transform(F.split(text, "\n"), lambda r: F.concat(F.lit("<tr><td>"), F.replace(r, F.lit("\t"), F.lit("</td><td>")), F.lit("</td></tr>")))
+    level, label_ = F.col("level").cast("string"), html_escape(F.coalesce("style", F.lit("")))
+    cell_rows = lambda cell, rows_: F.array_join(F.transform(rows_, lambda r: F.concat(F.lit(f"<tr><{cell}>"), F.replace(html_escape(r), F.lit("\t"), F.lit(f"</{cell}><{cell}>")), F.lit(f"</{cell}></tr>"))), "")
+    lines = F.split("text", "\n")
     line = (
         F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">")))
-        .when(F.col("kind") == "code", F.concat(F.lit("<pre><code>"), text, F.lit("</code></pre>")))
+        .when(F.col("kind") == "code", F.concat(F.lit("<pre><code>"), html_escape("text"), F.lit("</code></pre>")))
         .when(F.col("kind") == "rule", "<hr>")
-        .when(F.col("kind") == "table", F.concat(F.lit("<table>"), F.array_join(cell_rows, ""), F.lit("</table>")))
-        .when(F.col("marker").isNotNull(), tag("li", text))
+        .when(F.col("kind") == "note", F.concat(F.lit('<p id="fn-'), label_, F.lit('">'), text, F.lit(' <a href="#ref-'), label_, F.lit('">&#8617;</a></p>')))
+        .when(F.col("kind") == "table", F.concat(F.lit("<table>"), cell_rows("th", F.slice(lines, 1, 1)), cell_rows("td", F.slice(lines, 2, 1 << 20)), F.lit("</table>")))
+        .when(F.col("marker").isNotNull(), F.concat(F.when(F.col("task") == "x", '<input type="checkbox" checked disabled> ').when(F.col("task") == " ", '<input type="checkbox" disabled> ').otherwise(""), text))
         .when(F.array_contains("path", -1), tag("blockquote", tag("p", text)))
         .otherwise(tag("p", text))
     )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))), lambda x: x["t"]), "\n")
+    depth = F.when(F.col("marker").isNotNull(), F.size(F.filter("path", lambda x: x > 0))).otherwise(F.size(F.filter(F.coalesce("path", F.array().cast("array<int>")), lambda x: x > 0)))
+    name = F.when(F.col("marker").rlike(r"^\d"), "ol").otherwise("ul")
+    part = F.struct("ord", F.col("marker").isNotNull().alias("item"), depth.alias("depth"), F.concat(name, F.lit(" "), F.coalesce("list_no", F.lit(0)).cast("string")).alias("list"), line.alias("t"))
+    tag_of = lambda x: F.substring_index(x, " ", 1)
+    closed = lambda open_, keep: F.array_join(F.transform(F.reverse(F.slice(open_, keep + 1, 1 << 20)), lambda x: F.concat(F.lit("</li>\n</"), tag_of(x), F.lit(">"))), "\n")
+
+    def step(s: Column, x: Column) -> Column:
+        # An item keeps its list's open elements down to its depth; other rows those of the item that they belong to.
+        n, d = F.size(s["open"]), F.greatest(x["depth"], F.lit(0))
+        same = x["item"] & (n >= d) & (F.get(s["open"], d - 1) == x["list"])
+        keep = F.when(x["item"] & ~same, F.least(n, d - 1)).otherwise(F.least(n, d))
+        fresh = F.when(x["item"] & ~same, F.transform(F.sequence(F.lit(1), d - keep), lambda _: x["list"])).otherwise(F.slice(s["open"], 1, 0))
+        opened = F.array_join(F.transform(fresh, lambda y: F.concat(F.lit("<"), tag_of(y), F.lit(">\n<li>"))), "\n")
+        parts = F.array(s["t"], closed(s["open"], keep), F.when(same, "</li>\n<li>").otherwise(""), opened)
+        before = F.array_join(F.filter(parts, lambda p: p != ""), "\n")
+        glue = F.when(x["item"] | (before == ""), "").otherwise("\n")
+        return F.struct(F.concat(F.slice(s["open"], F.lit(1), keep), fresh).alias("open"), F.concat(before, glue, x["t"]).alias("t"))
+
+    ordered = F.array_sort(F.collect_list(part))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("t"))
+    body = F.aggregate(ordered, start, step, lambda s: F.array_join(F.filter(F.array(s["t"], closed(s["open"], F.lit(0))), lambda p: p != ""), "\n"))
     page = F.concat(F.lit("<!DOCTYPE html>\n<html><body>\n"), body, F.lit("\n</body></html>")) if full_page else body
     return rows.groupBy(by).agg(page.alias("html"))

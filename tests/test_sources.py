@@ -60,8 +60,21 @@ def test_markdown_inline(source, plain, spans):
 def test_markdown_round_trip(spark):
     df = spark.createDataFrame([(1, "# A\n\npara *x*\n\n- a\n- b\n\n```\ncode\n```\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n")], "doc_id int, text string")
     blocks = markdown.blocks(df)
-    assert markdown.to_markdown(blocks).first().text == "# A\n\npara x\n\n- a\n- b\n\n```\ncode\n```\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"
-    assert markdown.to_html(blocks).first().html.startswith("<h1>A</h1>\n<p>para x</p>\n<li>a</li>")
+    assert markdown.to_markdown(blocks).first().text == "# A\n\npara *x*\n\n- a\n- b\n\n```\ncode\n```\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"
+    assert markdown.to_html(blocks).first().html == "<h1>A</h1>\n<p>para <em>x</em></p>\n<ul>\n<li>a\n</li>\n<li>b\n</li>\n</ul>\n<pre><code>code</code></pre>\n<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
+
+
+def test_markdown_of_spans(spark):
+    """Emphasis, code, links, images, notes and lists survive the way there and back."""
+    text = "A **b *c* d** and `x_y` [li*nk*](http://u/a) ![alt](p.png) ~~no~~ 1\\*2 [^n].\n\n1. one\n    - inner **x**\n2. two\n\n> said\n\n[^n]: The *note*.\n"
+    blocks = markdown.blocks(spark.createDataFrame([(1, text), (2, "[x](javascript:alert(1)) & < b\n"), (3, None)], "doc_id int, text string"))
+    back = {r.doc_id: r.text for r in markdown.to_markdown(blocks).collect()}
+    again = markdown.blocks(spark.createDataFrame([(1, back[1])], "doc_id int, text string"))
+    assert [tuple(r)[1:] for r in again.orderBy("ord").collect()] == [tuple(r)[1:] for r in blocks.where("doc_id = 1").orderBy("ord").collect()], back[1]
+    page = {r.doc_id: r.html for r in markdown.to_html(blocks).collect()}
+    assert '<strong>b <em>c</em> d</strong> and <code>x_y</code> <a href="http://u/a">li<em>nk</em></a> <img src="p.png" alt="alt"> <s>no</s> 1*2 <sup><a href="#fn-n" id="ref-n">' in page[1]
+    assert "<ol>\n<li>one\n<ul>\n<li>inner <strong>x</strong>" in page[1] and page[1].count("<li>") == page[1].count("</li>") == 3 and page[1].count("<ul>") == page[1].count("</ul>") == 1
+    assert '<p id="fn-n">The <em>note</em>.' in page[1] and page[2] == "<p>x &amp; &lt; b</p>"
 
 
 BODY = """<w:p><w:pPr><w:pStyle w:val="Heading1"/><w:numPr><w:ilvl w:val="1"/><w:numId w:val="3"/></w:numPr><w:rPr><w:del/></w:rPr></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>Bold</w:t></w:r><w:ins w:author="A"><w:r><w:t> in</w:t></w:r></w:ins><w:del><w:r><w:delText> out</w:delText></w:r></w:del></w:p>
