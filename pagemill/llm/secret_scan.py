@@ -4,12 +4,13 @@ Every historical version of every path is addressed by the SHA-256 of its text.
 have been scanned, partitioned by ``rules``, the version of the rules; findings are a table beside it. A run scans the pairs that
 the ledger doesn't have, each blob once however many paths hold it, appends to both tables and joins the findings back to all
 paths. Which copy of a blob is scanned is settled on (blob, id) pairs without texts, so a blob that a third of all rows share is
-one row before any text moves. An interrupted run leaves blobs unlisted, which the next run scans again; findings of blobs that
-are not listed are ignored, so nothing counts twice.
+one row before any text moves; rows that repeat both path and text are scanned each, and count once. An interrupted run leaves
+blobs unlisted, which the next run scans again; findings of blobs that are not
+listed are ignored, so nothing counts twice.
 
 A kind is a pattern, searched leftmost and without overlaps; a match that fails the kind's length rule is dropped but still
 consumes its text. Places are code points. They come from the lengths of the gaps between matches: with ``\\G`` each search goes on
-where the last match ended, so a text is read once for each kind.
+where the last match ended. Texts without a match of a kind are read once for it, others once more for each part of its matches.
 
 Defined results: a null text counts as empty; a row without findings has empty spans; repeated rows are returned each; an empty
 table gives no rows; columns beside the id and the text are never read. A null id joins nothing but its own text's findings.
@@ -37,8 +38,9 @@ class Kind:
 #: The base kinds, in the order that ends ties, and those that this method adds. A change of these is a new RULES version.
 BASE = (
     Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Kind("hex", r"[0-9a-f]+", 0, 32),
+    # Runs are maximal, so a run's least length can stand in its pattern; that of assign can't, as a match that fails consumes its text.
+    Kind("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    Kind("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 ADDED = (
     Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
