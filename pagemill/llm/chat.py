@@ -1,13 +1,15 @@
 """Operator 9: chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole by a template of control strings, encoded once with offsets, and its tokens are matched with the
-sorted spans of its turns by binary search: a token bears loss if it lies in the text of a trained role. The control strings are
-added tokens, so no token crosses the edge of a text. A text's own ``<|`` sequences are escaped by a backslash (``<|`` becomes
+A conversation is rendered whole by a template of control strings, encoded once, and its tokens' places are matched with the
+sorted spans of its turns by binary search: a token bears loss if it lies in the text of a trained role. The vocabulary is
+byte-level, so places come from the tokens' byte lengths; a token that has part of a character's bytes covers the character. The
+control strings are added tokens, so no token crosses the edge of a text. A text's own ``<|`` sequences are escaped by a backslash (``<|`` becomes
 ``<\\|``, ``<\\|`` becomes ``<\\\\|`` and so on), which is undone on reading; no text can then forge a turn.
 
 Turns are sorted within the conversation's partition and rendered as a stream: a conversation longer than ``SEGMENT_CHARS`` is
 written in several segments that end between turns, where the encoding of the whole can be cut too, so no conversation has to fit in
-memory. Defined results: a null text or role counts as empty; turns sort by number (null first), then role, then text, and rows
+memory, and its segments' ids, one after another, are those of the whole. Reading back, only conversations of several segments are
+brought together. Defined results: a null text or role counts as empty; turns sort by number (null first), then role, then text, and rows
 that repeat stay; rows without a conversation id form one of their own; an empty table gives no rows; other columns are
 neither read nor returned.
 """
@@ -29,7 +31,10 @@ from pagemill.llm.common import arrow_map, batch, stored
 
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 SEGMENT_CHARS = 1 << 20
-FORMATTED = "conv_id long, segment int, formatted string, ids array<int>, starts array<int>, ends array<int>, loss binary, turn_starts array<int>, turn_ends array<int>, turn_loss array<boolean>"
+#: Characters that are encoded in one call.
+TOGETHER = 1 << 18
+#: Places are kept as small numbers: steps are the starts, each less the one before, and widths the ends less the starts.
+FORMATTED = "conv_id long, segment int, last boolean, formatted string, ids array<int>, steps array<int>, widths array<int>, loss binary, turn_starts array<int>, turn_ends array<int>, turn_loss array<boolean>"
 
 
 def escape(text: str) -> str:
@@ -70,55 +75,82 @@ def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, boo
     return (k >= 0) & bears[at] & (ends <= last[at]) & (starts < last[at])
 
 
-_ENCODERS: dict = {}
+class ChatEncoder:
+    """The tokenizer with the control strings as added tokens, and how many bytes each token stands for."""
 
-
-def chat_encoder(path: str):
-    """The tokenizer with the control strings as added tokens; one per Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
+    def __init__(self, path: str):
         from tokenizers import AddedToken, Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.no_truncation()
-        made.no_padding()
-        made.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (START, MIDDLE, END)])
-        _ENCODERS[path] = made
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.library.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (START, MIDDLE, END)])
+        added = {i: len(t.content.encode()) for i, t in self.library.get_added_tokens_decoder().items()}
+        self.width = np.zeros(self.library.get_vocab_size(True), np.int64)
+        for token, i in self.library.get_vocab(True).items():
+            self.width[i] = added.get(i, len(token))  # a character of an ordinary token stands for a byte
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its ids, and their starts and ends in code points."""
+        for text, got in zip(texts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.int32)
+            to = np.cumsum(self.width[ids])
+            raw = np.frombuffer(text.encode(), np.uint8)
+            if len(to) and to[-1] != len(raw):
+                raise ValueError("the vocabulary isn't byte-level")
+            point = np.cumsum((raw & 0xC0) != 0x80)  # 1 for the bytes of the first character
+            yield ids, point[to - self.width[ids]] - 1, point[to - 1]
+
+
+_ENCODERS: dict[str, ChatEncoder] = {}
+
+
+def chat_encoder(path: str) -> ChatEncoder:
+    """One per Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChatEncoder(path)
     return _ENCODERS[path]
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: tuple[str, ...] = ("assistant",), tokenizer: str = public_tokenizers.path("byte_bpe_50k.json"), segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """FORMATTED: per segment its text, its token ids with offsets (code points), the loss mask (a byte for each token) and the spans of its turns."""
+    """FORMATTED: per segment its text, its token ids with their places (code points), the loss mask (a byte for each token) and the spans of its turns."""
     roles = frozenset(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints, flags = pa.list_(pa.field("element", pa.int32())), pa.list_(pa.field("element", pa.bool_()))
-        schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("formatted", pa.string()), ("ids", ints), ("starts", ints), ("ends", ints), ("loss", pa.binary()), ("turn_starts", ints), ("turn_ends", ints), ("turn_loss", flags)])
-        words, rows = chat_encoder(tokenizer), []
+        schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("last", pa.bool_()), ("formatted", pa.string()), ("ids", ints), ("steps", ints), ("widths", ints), ("loss", pa.binary()), ("turn_starts", ints), ("turn_ends", ints), ("turn_loss", flags)])
+        words, waiting, waits = chat_encoder(tokenizer), [], 0
         conv, segment, held, size = None, 0, [], 0
 
-        def close():
-            text, spans = render(held, roles)
-            got = words.encode(text, add_special_tokens=False)
-            offsets = np.array(got.offsets, np.int32).reshape(-1, 2)
-            mask = masked(offsets[:, 0], offsets[:, 1], spans)
-            rows.append((conv, segment, text, np.array(got.ids, np.int32), offsets[:, 0], offsets[:, 1], mask.astype(np.uint8).tobytes(), [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans]))
+        def close(last: bool) -> None:
+            nonlocal waits
+            waiting.append((conv, segment, last, *render(held, roles)))
+            waits += len(waiting[-1][3])
+
+        def written() -> pa.RecordBatch:
+            nonlocal waiting, waits
+            rows = []
+            for (c, k, last, text, spans), (ids, starts, ends) in zip(waiting, words.encode([x[3] for x in waiting]), strict=True):
+                mask = masked(starts, ends, spans).astype(np.uint8).tobytes()
+                rows.append((c, k, last, text, ids, np.diff(starts, prepend=0).astype(np.int32), (ends - starts).astype(np.int32), mask, *([s[i] for s in spans] for i in range(3))))
+            waiting, waits = [], 0
+            return batch(schema, *zip(*rows, strict=True))
 
         for b in batches:
             for c, _, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if held and (c != conv or size >= segment_chars):
-                    close()
+                    close(c != conv)
                     segment, held, size = (segment + 1 if c == conv else 0), [], 0
-                    if len(rows) >= 64 or sum(len(r[2]) for r in rows) >= segment_chars:
-                        yield batch(schema, *zip(*rows, strict=True))
-                        rows = []
+                    if len(waiting) >= 256 or waits >= min(segment_chars, TOGETHER):
+                        yield written()
                 conv = c
                 held.append((role or "", text or ""))
                 size += len(text or "")
         if held:
-            close()
-        if rows:
-            yield batch(schema, *zip(*rows, strict=True))
+            close(True)
+        if waiting:
+            yield written()
 
     slim = turns.select(turns[conv_col].cast("long").alias("conv_id"), turns[turn_col].cast("long").alias("turn"), turns[role_col].cast("string").alias("role"), turns[text_col].cast("string").alias("text"))
     return arrow_map(slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, FORMATTED)
@@ -135,7 +167,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             rows.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5], state[6]))
 
         for b in batches:
-            for c, segment, text, starts, ends, loss in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for c, segment, text, steps, widths, loss in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if segment == 0:
                     if state:
                         done()
@@ -144,7 +176,8 @@ def digests(formatted: DataFrame) -> DataFrame:
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode("utf-8", "replace"))
                 # Neighbouring loss tokens form stretches of text. Their bytes may share a character, so ends meet or overlap.
-                a, z, on = np.array(starts, np.int64), np.array(ends, np.int64), np.frombuffer(loss, np.uint8).astype(bool)
+                a, on = np.cumsum(np.array(steps, np.int64)), np.frombuffer(loss, np.uint8).astype(bool)
+                z = a + np.array(widths, np.int64)
                 edge = np.flatnonzero(np.diff(on.astype(np.int8), prepend=0, append=0))
                 for s, e in zip(edge[::2], edge[1::2], strict=True):
                     said = unescape(text[a[s] : z[e - 1]])
@@ -160,12 +193,14 @@ def digests(formatted: DataFrame) -> DataFrame:
             done()
             yield batch(schema, *zip(*rows, strict=True))
 
-    slim = formatted.select("conv_id", "segment", "formatted", "starts", "ends", "loss")
-    return arrow_map(slim.repartition("conv_id").sortWithinPartitions("conv_id", "segment"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")
+    slim = formatted.select("conv_id", "segment", "formatted", "steps", "widths", "loss", "last")
+    kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
+    whole, cut = slim.where("segment = 0 and last").drop("last"), slim.where("not (segment = 0 and last)").drop("last")
+    return arrow_map(whole, run, kind).unionByName(arrow_map(cut.repartition("conv_id").sortWithinPartitions("conv_id", "segment"), run, kind))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return digests(stored(format_conversations(turns.unionByName(own)), "chat"))
+    return digests(stored(format_conversations(turns.unionByName(own)), "chat", "zstd"))
