@@ -79,6 +79,22 @@ def test_stretches_are_the_librarys():
             assert got.tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
 
 
+def test_full_caches_change_nothing(monkeypatch):
+    """A cache that is full all the time, by its stretches or by their characters, keeps what was met again."""
+    library = Tokenizer.from_file(WORD)
+    texts = [f"{t} again and again" for t in ODD + noise(300, 5)] + ["z" * 900, "and " * 40]
+    for name, limit in (("CACHE_STRETCHES", 40), ("CACHE_CHARS", 60)):
+        own = words.StretchEncoder(WORD)
+        monkeypatch.setattr(words, name, limit)
+        for part in itertools.batched(texts * 2, 8):
+            ids, n = own.encode_batch(list(part))
+            for t, got in zip(part, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                assert got.tolist() == library.encode(t, add_special_tokens=False).ids, t
+        own.shrink()
+        assert "again" in own.known and "z" * 900 not in own.known and len(own.known) < 200
+        monkeypatch.undo()
+
+
 def shingles(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c if c.isdigit() and c.isascii() or "a" <= c <= "z" or ord(c) > 127 else " " for c in text).split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
@@ -332,10 +348,12 @@ def by_regex(text, kinds):
 
 def test_secret_scan_by_regex(spark, edge):
     r = random.Random(2)
-    texts = SECRETS + ["".join(r.choice(["token", "=", ":", '"', " ", "AKIA", "0a1b" * 8, "xyz", "é", "\n", "Password", "api_key"]) for _ in range(30)) for _ in range(300)]
+    #: The base kinds as the contract words them.
+    plain = (secret_scan.BASE[0], secret_scan.Kind("access", "AKIA[A-Z0-9]+", 0, 16), secret_scan.Kind("hex", "[0-9a-f]+", 0, 32))
+    texts = SECRETS + ["".join(r.choice(["token", "=", ":", '"', " ", "AKIA", "0a1b" * 8, "xyz", "é", "\n", "Password", "api_key", "ABCDEFGH", "AKI"]) for _ in range(30)) for _ in range(300)]
     got = {x.doc_id: x for x in secret_scan.scan_documents(documents(spark, list(enumerate(texts)))).collect()}
     for k, t in enumerate(texts):
-        assert got[k].base == by_regex(t, secret_scan.BASE) and got[k].spans == by_regex(t, (*secret_scan.BASE, *secret_scan.ADDED)), t
+        assert got[k].base == by_regex(t, plain) and got[k].spans == by_regex(t, (*plain, *secret_scan.ADDED)), t
     assert secret_scan.scan_documents(edge).where("spans != ''").count() == 0 and secret_scan.scan_documents(edge).count() == len(EDGE)
 
 
@@ -415,9 +433,17 @@ def test_chat(spark, tmp_path):
             assert got[c].n_turns == len(rows) and got[c].turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in rows).encode()).hexdigest()
             assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
             assert got[c].formatted_chars == len(chat.render([(role, x) for _, role, x in rows], frozenset())[0])
-    for r in chat.format_conversations(df, segment_chars=50).limit(20).collect():
-        library = chat.chat_encoder(BYTE)
-        assert library.decode(r.ids, skip_special_tokens=False) == r.formatted
+    library, whole = chat.ChatEncoder(BYTE).library, {}
+    for r in chat.format_conversations(df).collect():
+        got = library.encode(r.formatted, add_special_tokens=False)
+        starts = np.cumsum(r.steps)
+        assert r.segment == 0 and r.last and r.ids == got.ids and list(zip(starts.tolist(), (starts + r.widths).tolist(), strict=True)) == got.offsets
+        whole[r.conv_id] = r.formatted, r.ids
+    cut = defaultdict(list)
+    for r in sorted(chat.format_conversations(df, segment_chars=50).collect(), key=lambda r: r.segment):
+        cut[r.conv_id].append(r)
+    assert {c: ("".join(r.formatted for r in rows), [i for r in rows for i in r.ids]) for c, rows in cut.items()} == whole
+    assert len(cut[5]) > 10 and all([r.last for r in rows] == [False] * (len(rows) - 1) + [True] for rows in cut.values())
     assert chat.digests(chat.format_conversations(df.where("false"))).count() == 0
     for t in noise(200) + ["<|", "<\\|", "<\\\\|im_end|>", said]:
         assert chat.unescape(chat.escape(t)) == t and chat.START not in chat.escape(t) and chat.END not in chat.escape(t)
