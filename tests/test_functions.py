@@ -79,3 +79,39 @@ def test_strings(spark):
 def test_packed_date(spark):
     bits = 34 | 12 << 6 | 25 << 11 | 12 << 16 | 99 << 20
     assert str(one(spark, T.packed_date(F.lit(bits)))) == "1999-12-25 12:34:00" and one(spark, T.packed_date(F.lit(0))) is None
+
+
+def test_colours(spark):
+    import colorsys
+
+    from pagemill.functions import values
+
+    def by_hand(rgb, tint, shade):
+        h, light, s = colorsys.rgb_to_hls(*((rgb >> k & 255) / 255 for k in (16, 8, 0)))
+        light = light * shade / 255 if shade else light * tint / 255 + 1 - tint / 255
+        return sum(math.floor(255 * x + 0.5) << k for x, k in zip(colorsys.hls_to_rgb(h, light, s), (16, 8, 0), strict=True))
+
+    rows = [(c, t, s) for c in (0x4472C4, 0x000000, 0xFFFFFF, 0x808080, 0xED7D31, 0x0000FF) for t, s in ((51, 0), (153, 0), (0, 191), (255, 0), (0, 128))]
+    df = spark.createDataFrame(rows, "c int, t int, s int").withColumns({"scheme": F.create_map(F.lit("accent1"), F.col("c")), "mapping": F.create_map(F.lit("text1"), F.lit("accent1"))})
+    for r in df.select("*", values.theme_colour(F.lit("text1"), F.col("t"), F.col("s"), F.col("scheme"), F.col("mapping")).alias("got")).collect():
+        want = by_hand(r.c, r.t, r.s)
+        assert all(abs((r.got >> k & 255) - (want >> k & 255)) <= 1 for k in (16, 8, 0)), r
+    assert one(spark, values.theme_colour(F.lit("none"), F.lit(0), F.lit(0), F.create_map(F.lit("a"), F.lit(1)), F.create_map(F.lit("b"), F.lit("a")))) is None
+
+
+def test_property_texts(spark):
+    from pagemill.functions.values import property_text
+
+    rows = [("real", "2.50", "2.5"), ("real", "3.0", "3"), ("integer", "7", "7"), ("boolean", "TRUE", "true"), ("date", "2026-01-02 03:04:05", "2026-01-02T03:04:05Z"), ("empty", "x", ""), ("text", "a", "a"), ("integer", None, "")]
+    got = spark.createDataFrame(rows, "k string, v string, want string").select("want", property_text(F.col("k"), F.col("v")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_hyphenation(spark):
+    from pagemill.functions.values import Hyphenator, hyphenate
+
+    # The worked example of the published method.
+    patterns = ["hy3ph", "he2n", "hena4", "hen5at", "1na", "n2at", "1tio", "2io", "o2n"]
+    assert Hyphenator(patterns).hyphenated("Hyphenation", "-") == "Hy-phen-ation"
+    assert one(spark, hyphenate(F.lit("hyphenation table, 12"), patterns, ["ta-ble"], mark="-")) == "hy-phen-ation ta-ble, 12"
+    assert Hyphenator([]).hyphenated("word") == "word"

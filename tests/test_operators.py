@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemill.operators import budget, editing, field_update, fields, merge, numbering, revisions, search, styles, tables, templates
+from pagemill.operators import budget, editing, field_update, fields, merge, numbering, references, revisions, search, styles, tables, templates
 from pagemill.operators.numbering import cardinal, number_text, ordinal_words
 
 
@@ -261,3 +261,23 @@ def test_field_update(spark):
         assert got[r.para][r.result_start : r.result_start + r.result_length] == r.result
     stats = {r.property: r.value for r in field_update.document_statistics(out).collect()}
     assert stats["numlines"] == "3" and stats["numwords"] == str(sum(len(t.split()) for t in got))
+
+
+def test_references(spark):
+    refs = spark.createDataFrame([(1, 5, "footnote", 2), (1, 9, "endnote", 1), (1, 3, "endnote", 1), (1, 12, "footnote", 1), (2, 0, "footnote", 2)], "doc_id int, pos int, kind string, id int")
+    got = {(r.doc_id, r.pos): (r.number, r.name) for r in references.note_numbers(refs).collect()}
+    assert got == {(1, 3): (1, "en-1"), (1, 9): (1, "en-1"), (1, 5): (2, "fn-2"), (1, 12): (3, "fn-1"), (2, 0): (1, "fn-2")}
+    marks = references.anchors(spark.createDataFrame([(1, "A b", 0), (1, "a-B!", 1), (1, "c", 2)], "doc_id int, name string, ord int"))
+    assert [r.anchor for r in marks.orderBy("ord").collect()] == ["bookmarka-b", "bookmarka-b-1", "bookmarkc"]
+    links = spark.createDataFrame([(1, "#a B"), (1, "zz")], "doc_id int, target string")
+    assert {r.target: r.anchor for r in references.link_targets(links, marks).collect()} == {"#a B": "bookmarka-b", "zz": None}
+    ref = spark.createDataFrame([(1, 0, "r1", "#d1"), (1, 1, "r2", "#d1"), (1, 2, "r3", "#d3")], "page_id int, ord int, ref_id string, href string")
+    own = spark.createDataFrame([(1, 5, "d1", "#r1"), (1, 6, "d3", "#r9")], "page_id int, ord int, def_id string, backlink string")
+    assert [(r.ref_id, r.def_id) for r in references.note_pairs(ref, own).collect()] == [("r1", "d1")]
+    styles = spark.createDataFrame([("b", "table"), ("z", "paragraph"), ("a", "paragraph"), ("c", "other")], "id string, type string")
+    assert [r.id for r in references.ordered_styles(styles).orderBy("ord").collect()] == ["a", "z", "b", "c"]
+    blocks = spark.createDataFrame([(1, 0, "paragraph", "x"), (1, 1, "section", ""), (1, 2, "object", "y")], "doc_id int, ord int, kind string, text string")
+    kept, notes = references.left_behind(blocks, F.col("kind") == "object", F.col("kind"))
+    assert kept.count() == 2 and notes.first().subject == "object"
+    out = references.appended(kept, kept, start_on_new_page=True, keep_sections=False).orderBy("ord").collect()
+    assert [(r.ord, r.kind) for r in out] == [(0, "paragraph"), (1, "section"), (2, "page_break"), (3, "paragraph")]
