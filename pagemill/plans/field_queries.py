@@ -88,11 +88,6 @@ def first_by_user(spark, d):
     return budget.first_wins(table(spark, d, "events"), ["user_id"], ["ts"]).select("user_id", "ts", F.lit(1).cast("long").alias("n"))
 
 
-@query("SELECT user_id, event_type, sum(value) > 0 AS any_value, count(*) AS points FROM events GROUP BY user_id, event_type")
-def chart_series(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg((F.sum("value") > 0).alias("any_value"), F.count(F.lit(1)).alias("points"))
-
-
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ROLLUP (event_type, date_trunc('day', ts))")
 def rollup_events(spark, d):
     return table(spark, d, "events").rollup("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))

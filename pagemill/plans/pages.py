@@ -76,3 +76,44 @@ def rtf_round_trip(spark, d):
     back = rtf.read(rtf.write_documents(paragraphs(table(spark, d, "documents"))), "doc_id")
     kept = joined_text(back, ["doc_id"])
     return kept.select("doc_id", F.md5(F.regexp_replace("text", "\n$", "").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def doc_round_trip(spark, d):
+    """Every document as a legacy binary file of paragraphs, read back through its piece table."""
+    from pagemill.operators.search import joined_text, paragraphs
+    from pagemill.sources import doc
+
+    back = doc.read(doc.write_documents(paragraphs(table(spark, d, "documents"))), "doc_id")
+    return joined_text(back.where("error is null"), ["doc_id"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[*_]', '', 'g')) AS digest FROM documents")
+def docx_runs_round_trip(spark, d):
+    """Every document with its words by turns in bold and italic runs, read back run by run."""
+    from pagemill.operators.search import joined_text, paragraphs
+    from pagemill.sources import docx
+
+    plain = paragraphs(table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "[*_]", "")))
+    half = (F.length("text") / 2).cast("int")
+    run = lambda start, length, bold: F.struct(start.alias("start"), length.alias("length"), F.lit(bold).alias("bold"), F.lit(not bold).alias("italic"), F.lit(None).cast("string").alias("url"))
+    blocks = plain.select("doc_id", "ord", F.lit("paragraph").alias("kind"), F.lit("Body").alias("style"), "text", F.array(run(F.lit(0), half, True), run(half, F.length("text") - half, False)).alias("runs"))
+    files = docx.write(blocks)
+    runs = docx.read(files, "runs", "doc_id").where("story = 'body' and error is null and bold is distinct from italic")
+    whole = runs.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda r: r["text"]), "").alias("text"))
+    every = docx.read(files, "blocks", "doc_id").where("story = 'body' and style = 'Body'").select("doc_id", "ord")
+    return joined_text(every.join(whole, ["doc_id", "ord"], "left"), ["doc_id"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type)::INT - 1 AS series_no, event_type AS series, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1)::INT AS i, event_id::VARCHAR AS category, value FROM events")
+def chart_series(spark, d):
+    """Every user's events as the part of a chart with a series for each type, and the points that its reader finds."""
+    from pagemill.sources import parts
+    from pagemill.sources.rows import map_rows
+
+    one = F.struct("event_id", "value")
+    series = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(one)).alias("points"))
+    users = series.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "points"))).alias("series"))
+    made = map_rows(users, ["user_id", "series"], lambda u, ss: [(u, parts.chart_xml([(s["event_type"], [str(p["event_id"]) for p in s["points"]], [p["value"] for p in s["points"]]) for s in ss], title=f"User {u}"))], "user_id long, content binary", 64)
+    points = map_rows(made, ["user_id", "content"], lambda u, xml: [(u, *r) for r in parts.chart_points(xml)], f"user_id long, {parts.POINTS}")
+    return points.select("user_id", "series_no", "series", "i", "category", "value")
