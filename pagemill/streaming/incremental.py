@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +67,42 @@ def list_labels(items: DataFrame, levels: dict[int, dict], by: str = "doc_id") -
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and sums of events (ts, event_type, value) for each window, late rows dropped by the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide or size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def write_files(blocks: DataFrame, path: str, checkpoint: str, id_col: str = "doc_id", most_rows: int | None = None):
+    """A running query that writes each batch's documents (block rows id, ord, kind, style, text) as packages: a table (id, content,
+    batch) at path. A document's rows must arrive in one batch; a batch that is run again replaces what it wrote before."""
+    from pagemill.sources import docx
+
+    def save(batch: DataFrame, number: int) -> None:
+        made = docx.write(batch, id_col)
+        made.write.mode("overwrite").option("maxRecordsPerFile", most_rows or 0).parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return blocks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).start()
+
+
+class Cancelled(RuntimeError):
+    """What a cancelled action raises."""
+
+
+class Cancellation:
+    """Actions run under a tag; cancel, from any thread, ends those that run and refuses those to come."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tag, self.gone = spark, f"cancel-{uuid.uuid4().hex}", False
+
+    def run(self, action: Callable):
+        """The result of action(), whose Spark jobs carry the tag."""
+        if self.gone:
+            raise Cancelled(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
+        try:
+            return action()
+        except Exception as e:
+            raise Cancelled(self.tag) if self.gone else e
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+
+    def cancel(self) -> None:
+        self.gone = True
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)

@@ -115,3 +115,12 @@ def test_hyphenation(spark):
     assert Hyphenator(patterns).hyphenated("Hyphenation", "-") == "Hy-phen-ation"
     assert one(spark, hyphenate(F.lit("hyphenation table, 12"), patterns, ["ta-ble"], mark="-")) == "hy-phen-ation ta-ble, 12"
     assert Hyphenator([]).hyphenated("word") == "word"
+
+
+def test_registry(spark):
+    from pagemill.functions import registry
+
+    names = registry.register(spark, "t_", {"twice": ("int", lambda n: 2 * n)})
+    assert names == ["t_date_format_of", "t_formula_value", "t_list_number", "t_numeric_picture", "t_twice"]
+    row = spark.sql("SELECT t_formula_value('= 2 * (1 + 3)') AS a, t_numeric_picture(2456800, '$#,###,###') AS b, t_list_number(4, 'upperRoman') AS c, t_twice(3) AS d, t_formula_value(NULL) AS e").first()
+    assert tuple(row) == (8.0, "$2,456,800", "IV", 6, None)

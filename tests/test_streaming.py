@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.sources import docx
@@ -37,3 +38,34 @@ def test_list_labels_and_windows(spark, sf_dir, tmp_path):
     assert [r.label for r in run(incremental.list_labels(stream, levels), "label_rows").orderBy("ord").collect()] == ["1.", "1.1", "2."]
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert incremental.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_written_stream(spark, tmp_path):
+    schema = "doc_id long, ord int, kind string, style string, text string"
+    for rows in ([(1, 0, "paragraph", None, "a"), (1, 1, "paragraph", None, "b")], [(2, 0, "paragraph", None, "c")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = incremental.write_files(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    files = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.doc_id: r.text for r in docx.document_text(docx.read(files, id_col="doc_id"), "doc_id").collect()} == {1: "a\nb", 2: "c"} and files.select("batch").distinct().count() == 2
+
+
+def test_cancellation(spark):
+    import threading
+    import time
+
+    c = incremental.Cancellation(spark)
+    assert c.run(lambda: spark.range(3).count()) == 3
+    slow = spark.range(8).repartition(8).mapInPandas(lambda frames: (time.sleep(30) or f for f in frames), "id long")
+    timer = threading.Timer(3, c.cancel)
+    timer.start()
+    began = time.time()
+    with pytest.raises(incremental.Cancelled):
+        c.run(slow.count)
+    assert time.time() - began < 25
+    with pytest.raises(incremental.Cancelled):
+        c.run(lambda: 1)
