@@ -175,7 +175,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield end(False)
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Texts' beginnings tell apart rows without an id or with the same one, which would else all go to one task.
+    begin = F.substring("text", 1, 64).asc_nulls_first()
+    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), begin).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     found = stored(arrow_map(ordered, run, f"{ROWS}, part int, first boolean, text string"), "omh")
     ends = found.where("part is not null")
     parts = sorted(r[0] for r in ends.where("first").select("part").collect())  # a number for each partition
