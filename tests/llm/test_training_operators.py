@@ -172,6 +172,29 @@ def test_near_partners_in_a_large_class(spark):
     assert {x.class_id for x in got} == {0}
 
 
+def test_near_recall_at_the_threshold(spark):
+    """Of pairs whose own similarity is just over 0.8, measured by hand, at least 99 in 100 are linked; of those just under it, none."""
+    r = random.Random(13)
+    texts, near_pairs, apart = [], [], []
+    for k in range(700):
+        base = [f"p{k}x{r.randrange(4000)}" for _ in range(240)]
+        other = list(base)
+        for at in r.sample(range(0, 236, 6), 5 if k % 2 else 6):
+            other[at] = f"q{k}y{at}"
+        texts += [" ".join(base), " ".join(other)]
+    bags = [shingles(t) for t in texts]
+    df = Counter(s for b in bags for s in b)
+    weight = lambda s, n: n * (1 + near.SPREAD * math.log1p(len(texts) / df[s]) / math.log1p(len(texts)))
+    for k in range(0, len(texts), 2):
+        x, y = ({s: weight(s, n) for s, n in b.items()} for b in bags[k : k + 2])
+        common = sum(min(x[s], y[s]) for s in x.keys() & y.keys())
+        (near_pairs if common / (sum(x.values()) + sum(y.values()) - common) >= 0.8 else apart).append(k)
+    got = {x.doc_id: x.class_id for x in near.near_duplicates(documents(spark, list(enumerate(texts)))).collect()}
+    found = sum(got[k] == got[k + 1] for k in near_pairs)
+    assert len(near_pairs) > 300 and len(apart) > 300 and found >= 0.99 * len(near_pairs), (found, len(near_pairs), len(apart))
+    assert not any(got[k] == got[k + 1] for k in apart)
+
+
 def test_near_edges(spark, edge, empty):
     got = {(x.doc_id, x.text_id): x.class_id for x in near.near_duplicates(edge).collect()}
     assert got[(4, 4)] == got[(5, 4)] == 4 and got[(1, 1)] == got[(2, 1)] == 1 and got[(None, None)] is None and got[(-9, -9)] == got[(10, -9 if (10, -9) in got else 10)]
