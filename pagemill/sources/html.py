@@ -711,6 +711,59 @@ def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return _map(pages, rows, "node_id int, parent_id int, ord int, kind string, name string, attrs map<string,string>, text string", id_col, html_col)
 
 
+def page_notes(source: str) -> list[tuple[int, str, str, str]]:
+    """(number, reference id, definition id, text) of a page's notes: a raised link to an element that links back to it.
+
+    Only pairs that point at each other count; the first definition of a reference and the first reference of a definition win. The
+    link back isn't part of the text.
+    """
+    document = parse(source)
+    references: dict[str, str] = {}
+    targets: dict[str, Node] = {}
+    for n in document.walk():
+        if n.kind != "element":
+            continue
+        if n.attrs.get("id"):
+            targets.setdefault(n.attrs["id"], n)
+        if n.name == "a" and n.attrs.get("href", "").startswith("#") and (n.parent.name == "sup" or any(c.name == "sup" for c in n.children)):
+            own = n.attrs.get("id") or n.parent.attrs.get("id")
+            if own:
+                references.setdefault(own, n.attrs["href"][1:])
+    out, taken = [], set()
+    for own, target in references.items():
+        definition = targets.get(target)
+        if definition is None or target in taken:
+            continue
+        back = next((x for x in definition.walk() if x.kind == "element" and x.name == "a" and x.attrs.get("href") == f"#{own}"), None)
+        if back is None:
+            continue
+        taken.add(target)
+        text = "".join(x.text for x in definition.walk() if x.kind == "text" and not any(p is back for p in ancestors(x)))
+        out.append((len(out) + 1, own, target, re.sub(r"[\t\n\f\r ]+", " ", text).strip()))
+    return out
+
+
+def ancestors(node: Node) -> Iterator[Node]:
+    while node.parent:
+        node = node.parent
+        yield node
+
+
+def notes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """The notes of every page, as page_notes finds them."""
+    return _map(pages, page_notes, "number int, ref_id string, def_id string, text string", id_col, html_col)
+
+
+def decoded(files: DataFrame, id_col: str = "path") -> DataFrame:
+    """(id, html) of files (id, content): their encoding by byte order mark, meta tag, or UTF-8."""
+    return map_rows(files, [id_col, "content"], lambda i, raw: [(i, None if raw is None else decode(raw))], f"{id_col} {files.schema[id_col].dataType.simpleString()}, html string", 64)
+
+
+def fragments(rows: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+    """The block rows of fragments, as the content of a body."""
+    return blocks(rows, id_col, html_col)
+
+
 def titles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The title of every page, character references decoded; null without one."""
     return _map(pages, lambda h: [(title(parse(h)),)], "title string", id_col, html_col)

@@ -300,6 +300,8 @@ def parse_inline(text: str, links: dict[str, tuple[str, str]] | None = None) ->
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """BLOCKS of every document, with plain text and (start, length, kind, url) spans in inline; footnotes come last, as kind note, their label in style."""
     names = [c.split(" ")[0] for c in BLOCKS.split(", ")]
+    if id_col in names:
+        raise ValueError(f"block rows have a column {id_col} of their own")
 
     def rows(doc, text: str | None) -> Iterator[tuple]:
         found = parse_blocks(text or "")
@@ -314,6 +316,14 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return map_rows(docs, [id_col, text_col], rows, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {BLOCKS}, inline array<struct<start:int,length:int,kind:string,url:string>>")
 
 
+def decoded(files: DataFrame, id_col: str = "path") -> DataFrame:
+    """(file, text) of files (id, content) in UTF-8, without a byte order mark; bytes that aren't UTF-8 become U+FFFD.
+
+    file is the id: block rows have a column path of their own.
+    """
+    return map_rows(files, [id_col, "content"], lambda i, raw: [(i, None if raw is None else raw.decode("utf-8", "replace").removeprefix("\ufeff"))], f"file {files.schema[id_col].dataType.simpleString()}, text string", 64)
+
+
 def inline(text: Column, spans: Column, begin, end, plain, code) -> Column:
     """text with what begin and end give for each span (start, length, kind, url) around it; stretches go through plain, or code inside code spans.
 

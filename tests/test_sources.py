@@ -130,3 +130,19 @@ def test_package_parts():
 def test_vba_copy_tokens():
     raw = bytes([1, 0x2F, 0xB0, 0x00, 0x23, 0x61, 0x61, 0x61, 0x62, 0x63, 0x64, 0x65, 0x82, 0x66, 0x00, 0x70, 0x61, 0x67, 0x68, 0x69, 0x6A, 0x01, 0x38, 0x08, 0x61, 0x6B, 0x6C, 0x00, 0x30, 0x6D, 0x6E, 0x6F, 0x70, 0x06, 0x71, 0x02, 0x70, 0x04, 0x10, 0x72, 0x73, 0x74, 0x75, 0x76, 0x10, 0x77, 0x78, 0x79, 0x7A, 0x00, 0x3C])
     assert package.vba_decompress(raw) == b"#aaabcdefaaaaghijaaaaaklaaamnopqaaaaaaaaaaaarstuvwxyzaaa"
+
+
+def test_page_notes():
+    page = """<p>One<sup><a id="r1" href="#d1">1</a></sup> and <a href="#d2" id="r2"><sup>2</sup></a> and <sup><a id="r3" href="#d3">3</a></sup><sup><a id="r9" href="#d1">1</a></sup></p>
+    <ol><li id="d1">First  <b>note</b>. <a href="#r1">back</a></li><li id="d2">Second<a href="#r2">x</a></li><li id="d3">no way back</li></ol><a href="#d1">plain</a>"""
+    assert html.page_notes(page) == [(1, "r1", "d1", "First note."), (2, "r2", "d2", "Second")]
+    assert html.page_notes("") == [] and html.page_notes("<sup><a href='#x'>1</a></sup>") == []
+
+
+def test_files_and_fragments(spark):
+    files = spark.createDataFrame([("a", bytearray("\ufeff<p>\u00e9".encode())), ("b", bytearray(b"<meta charset=latin1><p>\xe9")), ("c", None)], "path string, content binary")
+    assert {r.path: r.text for r in html.blocks(html.decoded(files), "path").collect()} == {"a": "\u00e9", "b": "\u00e9"}
+    assert {r.file: r.text for r in markdown.blocks(markdown.decoded(files.where("path = 'a'")), "file").collect()} == {"a": "<p>\u00e9"}
+    rows = html.fragments(spark.createDataFrame([(1, "x <b>y</b><li>z")], "doc_id int, html string")).orderBy("ord").collect()
+    assert [(r.kind, r.text) for r in rows] == [("paragraph", "x y"), ("item", "z")]
+    assert html.notes(spark.createDataFrame([(1, '<sup><a id="r" href="#d">1</a></sup><p id="d">n <a href="#r">b</a>')], "page_id int, html string")).first().text == "n"
