@@ -7,9 +7,9 @@ Improved consistent weighted sampling (Ioffe) runs in bins: a shingle's hash giv
 sample is the pair (shingle, t) of least a = c / (y e^r). Empty bins copy others by a fixed sequence of draws. ``BANDS`` bands of
 ``ROWS`` samples give candidates, which are verified by the weighted Jaccard similarity of their whole texts.
 
-Equal texts are one node from the start. In a band's bucket nodes aren't all paired: small buckets are, larger ones are compared
-with a leader, and then, in rounds, nodes that are still in another class with further members of the first class. The rounds only
-save work: in the end every pair of nodes of a bucket that are still in two classes is compared, block by block. Links make classes
+Equal texts are one node from the start. In a band's bucket nodes aren't all paired at first: small buckets are, and the nodes of
+larger ones are compared with ``LEADERS`` of them, by hashes of the ids, so that the buckets of a group share their leaders. That
+only saves work: then every pair of nodes of a bucket that are still in two classes is compared, block by block. Links make classes
 by alternating large-star and small-star steps. Buckets, links and labels stay distributed; verification splits a leader's partners
 over tasks and streams them past the leader's features.
 
@@ -38,8 +38,8 @@ DF_BITS, DF_CHUNKS = 20, 64
 #: as what they share is frequent for that very reason, and what sets each apart is rare.
 SPREAD = 0.2
 HASH_BITS = 52
-#: Buckets up to this size are paired in full; a leader's partners come in groups of PARTNERS; rounds over larger buckets.
-SMALL, PARTNERS, MOST_ROUNDS = 6, 512, 6
+#: Buckets up to this size are paired in full at once, larger ones have so many leaders; a leader's partners come in groups of PARTNERS.
+SMALL, LEADERS, PARTNERS = 6, 4, 512
 #: Nodes of a block, when a bucket's classes are compared with each other.
 BLOCK = 128
 DRAWS = np.random.default_rng(52).integers(0, SAMPLES, (SAMPLES, 2048), dtype=np.int64)
@@ -335,7 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = stored(node_bands(rows, idf), "bands")
     nodes = stored(bands.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     keyed = nodes.where("id is not null").select("id", F.explode("bands").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lead")).where("size > 1")
+    leads = [F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"].alias(f"lead_{k}") for k in range(LEADERS)]
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.array(*leads).alias("leads")).where("size > 1")
     members = stored(keyed.join(shared, "key"), "members")
     inside = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest")
     addressed = rows.select(F.col("doc_id").alias("id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
@@ -343,22 +344,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     few = members.where(f"size <= {SMALL}")
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    pairs = members.where(f"id != lead and size > {SMALL}").select(F.col("lead").alias("a"), F.col("id").alias("b")).unionByName(every).distinct()
-    labels = stored(components(verified(stored(pairs, "pairs"), texts, idf, similarity)), "labels")
-    many = members.where(f"size > {SMALL}").select("key", "id")
-    for turn in range(MOST_ROUNDS):
-        # Where a large bucket holds several classes, the others' nodes meet another member of the first.
-        told = stored(many.join(labels, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class")), "told")
-        first = F.min(F.struct("class", F.xxhash64("id", F.lit(turn)).alias("by"), "id"))
-        split = told.groupBy("key").agg(first.alias("first"), F.max("class").alias("last")).where("first.class != last").select("key", F.col("first.id").alias("a"), F.col("first.class").alias("own"))
-        # Classes only grow: a bucket of one class is settled, and the next round reads the others.
-        told = stored(told.join(split, "key"), "split")
-        many = told.select("key", "id")
-        pairs = stored(told.where("class != own").select("a", F.col("id").alias("b")).distinct(), "pairs")
-        found = stored(verified(pairs, texts, idf, similarity), "links") if pairs.limit(1).count() else None
-        if found is None or not found.limit(1).count():
-            break
-        labels = stored(joined(labels, found), "labels")
+    many = members.where(f"size > {SMALL}")
+    led = many.select(F.explode(F.array_distinct("leads")).alias("a"), F.col("id").alias("b")).where("a != b")
+    labels = stored(components(verified(stored(led.unionByName(every).distinct(), "pairs"), texts, idf, similarity)), "labels")
+    many = many.select("key", "id")
     found = stored(across(many, labels, texts, idf, similarity), "links")
     if found.limit(1).count():
         labels = stored(joined(labels, found), "labels")
