@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import arrow_map, as_texts, batch, chunks, scratch
 from pagemill.llm.words import ENCODE_CHARS, encoder
 
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 22
 #: A pair is replaced while it occurs so often in its shard: a rule takes 12 bytes, and each use saves a symbol of 2 (or 4).
-FREQUENT = 24
+FREQUENT = 32
 MAGIC, VERSION = b"PMRP", 1
 HEAD = struct.Struct("<4sIqqqqq")
 SHARDS = "part int, shard int, before long, n_docs long, n_ids long, blob binary"
@@ -63,13 +63,13 @@ def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int, frequent: int =
     """(symbols, symbols of each document, rules as rows (left, right) in order of depth, expansion lengths of the rules)."""
     n = len(ids)
     # Live positions are a linked list for each document; n stands for no position, -1 for a symbol that is gone.
-    seq, after, before = np.append(ids.astype(np.int64), -1), np.arange(1, n + 2), np.arange(-1, n)
+    seq, after, before = np.append(ids.astype(np.int32), np.int32(-1)), np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     ends = np.cumsum(counts)[counts > 0]
     starts = np.concatenate(([0], ends[:-1])) if n else ends
     after[ends - 1], before[starts] = n, n
     wide = (terminals + n // frequent).bit_length()
     inside = np.flatnonzero(after[:n] < n)
-    held = dict(groups(seq[inside] << wide | seq[inside + 1], inside, frequent))
+    held = dict(groups(seq[inside].astype(np.int64) << wide | seq[inside + 1], inside, frequent))
     # Pairs by their counts. No pair of older symbols arises later, so counts only fall, and new pairs occur no more often than the
     # pair that made them: the greatest count falls steadily, and a pair whose count is out of date is moved when its turn comes.
     by_count: dict[int, list[int]] = {}
@@ -80,6 +80,22 @@ def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int, frequent: int =
     depths: list[int] = []
     for queued in range(max(by_count, default=0), frequent - 1, -1):
         turn = by_count.pop(queued, [])
+        if len(turn) > 8:  # most have lost places since: what they have left is counted together
+            at, mask = np.concatenate([held[k] for k in turn]), (1 << wide) - 1
+            sizes, keys = np.fromiter((len(held[k]) for k in turn), np.int64, len(turn)), np.array(turn)
+            left, right = keys >> wide, keys & mask
+            stays = (seq.take(at) == np.repeat(left, sizes)) & (seq.take(after.take(at)) == np.repeat(right, sizes))
+            upto = np.concatenate(([0], np.cumsum(sizes)))
+            counted, kept = np.add.reduceat(stays, upto[:-1], dtype=np.int64), []
+            for key, now, run, s, e in zip(turn, counted.tolist(), (left == right).tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                if run or now >= queued:
+                    kept.append(key)
+                elif now < frequent:
+                    del held[key]
+                else:
+                    held[key] = at[s:e][stays[s:e]]
+                    by_count.setdefault(now, []).append(key)
+            turn = kept
         for key in turn:
             left, right = key >> wide, key & ((1 << wide) - 1)
             at = held.pop(key)
@@ -107,7 +123,7 @@ def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int, frequent: int =
             one, two = seq.take(ahead), seq.take(follow)
             # The new symbol's neighbours: twice the symbol, and one more for those that follow; two new ones side by side count once.
             ok_one, ok_two = (one >= 0) & (one != made), two >= 0
-            keys = np.concatenate((one[ok_one] << 1, two[ok_two] << 1 | 1))
+            keys = np.concatenate((one[ok_one] << 1, two[ok_two] << 1 | 1)).astype(np.int64)
             for x, at in groups(keys, np.concatenate((ahead[ok_one], where[ok_two])), frequent):
                 fresh = made << wide | x >> 1 if x & 1 else x >> 1 << wide | made
                 held[fresh] = at
@@ -247,7 +263,9 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             yield flush()
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Texts' beginnings tell apart rows without an id or with the same one, which would else all go to one task.
+    begin = F.substring("text", 1, 64).asc_nulls_first()
+    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), begin).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     arrow_map(ordered, run, SHARDS).write.parquet(path)
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import regex
 
 #: Limits of the cache: stretches, their characters, and the longest that stays when it is full.
-CACHE_STRETCHES, CACHE_CHARS, LONGEST = 250_000, 8_000_000, 256
+CACHE_STRETCHES, CACHE_CHARS, LONGEST = 400_000, 8_000_000, 256
 #: Characters of the texts that are encoded at once.
 ENCODE_CHARS = 1 << 19
 #: Characters that Python's split takes for white space and the vocabulary's pattern doesn't, and the mark between stretches.
