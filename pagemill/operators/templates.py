@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A template is a definition that a task holds whole.
+MOST_LINES = 10_000
 NAME = r"\{\{\s*([^{}]+?)\s*\}\}"
 
 
@@ -48,23 +50,42 @@ def keep_regions(regions: DataFrame, conditions: DataFrame, on: list[str]) -> Da
 
 
 def render(template: DataFrame, models: DataFrame, bindings: DataFrame, conditions: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
-    """(model_id, text) of every model.
+    """(model_id, text, unresolved) of every model; without lines that stay, its text is empty.
 
     template: (ord, text, collection, condition), a line each; bindings: (model_id, name, value); conditions: (model_id, condition,
     value); items: (model_id, collection, item_no, values map). Lines of a collection repeat for its items, whose values come
     before the model's.
     """
-    root = bindings.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("root"))
-    lines = models.select("model_id").join(F.broadcast(template))
+    rows = template.select("ord", "text", "collection", "condition").limit(MOST_LINES + 1).collect()
+    if len(rows) > MOST_LINES:
+        raise ValueError(f"a template has at most {MOST_LINES} lines")
+    if not rows:
+        return models.select("model_id", F.lit("").alias("text"), F.array().cast("array<string>").alias("unresolved"))
+    texts = "map<string,string>"
+    text = lambda x: F.lit(x).cast("string")
+    lines = F.array(*[F.struct(F.lit(r["ord"]).cast("int").alias("ord"), text(r["text"]).alias("text"), text(r["collection"]).alias("collection"), text(r["condition"]).alias("condition")) for r in rows])
+    own = models.select("model_id").join(bindings.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("root")), "model_id", "left")
+    # What belongs to a model meets in its row once; its lines are then made there, without a row for each.
+    known = F.array().cast("array<struct<condition:string,value:boolean>>")
     if conditions is not None:
-        lines = keep_regions(lines, conditions, ["model_id"])
-    plain = lines.where("collection is null").withColumns({"item_no": F.lit(0), "values": F.create_map().cast("map<string,string>")})
+        own = own.join(conditions.groupBy("model_id").agg(F.collect_list(F.struct("condition", "value")).alias("known")), "model_id", "left")
+        known = F.coalesce("known", known)
+    held = F.array().cast(f"array<struct<collection:string,item_no:int,values:{texts}>>")
     if items is not None:
-        plain = plain.unionByName(lines.where("collection is not null").join(items, ["model_id", "collection"]).select(plain.columns))
-    own = plain.join(root, "model_id", "left").withColumn("all", F.map_concat(F.map_filter(F.coalesce("root", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key("values", k)), F.col("values")))
-    done = own.select("model_id", "ord", "item_no", filled(F.col("text"), F.col("all")).alias("line"), unresolved(F.col("text"), F.col("all")).alias("open"))
-    parts = F.array_sort(F.collect_list(F.struct("ord", "item_no", "line")))
-    return done.groupBy("model_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("open")))).alias("unresolved"))
+        own = own.join(items.groupBy("model_id").agg(F.collect_list(F.struct("collection", F.col("item_no").cast("int").alias("item_no"), "values")).alias("items")), "model_id", "left")
+        held = F.coalesce("items", held)
+    root = F.coalesce("root", F.create_map().cast(texts))
+    stays = lambda x: x["condition"].isNull() | F.coalesce(F.get(F.filter(known, lambda k: k["condition"] == x["condition"]), F.lit(0))["value"], F.lit(True))
+
+    def made(line: Column, number: Column, values: Column) -> Column:
+        return F.struct(line["ord"].alias("ord"), number.alias("item_no"), filled(line["text"], values).alias("line"), unresolved(line["text"], values).alias("open"))
+
+    def expanded(line: Column) -> Column:
+        inside = F.transform(F.filter(held, lambda i: i["collection"] == line["collection"]), lambda i: made(line, i["item_no"], F.map_concat(F.map_filter(root, lambda k, v: ~F.map_contains_key(i["values"], k)), i["values"])))
+        return F.when(line["collection"].isNull(), F.array(made(line, F.lit(0), root))).otherwise(inside)
+
+    done = own.select("model_id", F.array_sort(F.flatten(F.transform(F.filter(lines, stays), expanded))).alias("lines"))
+    return done.select("model_id", F.array_join(F.transform("lines", lambda p: p["line"]), "\n").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.transform("lines", lambda p: p["open"])))).alias("unresolved"))
 
 
 def binder(schema: T.StructType) -> dict[str, str]:
