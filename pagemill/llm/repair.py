@@ -2,8 +2,8 @@
 
 Documents are range-partitioned and sorted by id; every partition writes shards of about ``SHARD_IDS`` ids. In a shard the pair
 that occurs most often, by exact counts, is replaced everywhere by a new nonterminal, again and again until no pair occurs
-``FREQUENT`` times (ties: the pair that was found first). All places of a pair are rewritten at once, in arrays. Pairs never cross a document's
-end, so a document, or any stretch of one, decodes without the others: rules carry their expansion lengths.
+``FREQUENT`` times (ties: the pair that was found first, together with those of the same count that can't overlap it). All places
+are rewritten at once, in arrays. Pairs never cross a document's end, so a document, or any stretch of one, decodes without the others: rules carry their expansion lengths.
 
 A shard's bytes (little-endian): magic ``PMRP``, version, then 64-bit counts (documents, ids, terminals, rules, symbols); per
 document its id (64-bit, with a validity byte), its count of ids and of symbols; per rule its left and right symbol and expansion
@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import arrow_map, as_texts, batch, chunks, scratch
-from pagemill.llm.words import ENCODE_CHARS, encoder
+from pagemill.llm.words import encoder
 
 SHARD_IDS = 1 << 22
+#: Characters that are encoded at once: the more there are, the more often a word occurs among them.
+ENCODE_CHARS = 1 << 22
 #: A pair is replaced while it occurs so often in its shard: a rule takes 12 bytes, and each use saves a symbol of 2 (or 4).
 FREQUENT = 32
 MAGIC, VERSION = b"PMRP", 1
@@ -44,9 +46,12 @@ def groups(keys: np.ndarray, at: np.ndarray, frequent: int) -> list[tuple[int, n
         return []
     bits = int(at.max()).bit_length()
     if int(keys.max()).bit_length() + bits < 64:
-        both = (keys << bits) | at
+        both = keys << bits
+        both |= at
         both.sort()
-        keys, at = both >> bits, both & ((1 << bits) - 1)
+        at = both & ((1 << bits) - 1)
+        both >>= bits
+        keys = both
     else:
         order = np.argsort(keys, kind="stable")
         keys, at = keys[order], at[order]
@@ -69,7 +74,11 @@ def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int, frequent: int =
     after[ends - 1], before[starts] = n, n
     wide = (terminals + n // frequent).bit_length()
     inside = np.flatnonzero(after[:n] < n)
-    held = dict(groups(seq[inside].astype(np.int64) << wide | seq[inside + 1], inside, frequent))
+    pairs = seq[inside].astype(np.int64)
+    pairs <<= wide
+    pairs |= seq[1:][inside]
+    held = dict(groups(pairs, inside, frequent))
+    del pairs, inside
     # Pairs by their counts. No pair of older symbols arises later, so counts only fall, and new pairs occur no more often than the
     # pair that made them: the greatest count falls steadily, and a pair whose count is out of date is moved when its turn comes.
     by_count: dict[int, list[int]] = {}
@@ -78,54 +87,70 @@ def grammar(ids: np.ndarray, counts: np.ndarray, terminals: int, frequent: int =
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
     depths: list[int] = []
+    mask = (1 << wide) - 1
     for queued in range(max(by_count, default=0), frequent - 1, -1):
         turn = by_count.pop(queued, [])
-        if len(turn) > 8:  # most have lost places since: what they have left is counted together
-            at, mask = np.concatenate([held[k] for k in turn]), (1 << wide) - 1
-            sizes, keys = np.fromiter((len(held[k]) for k in turn), np.int64, len(turn)), np.array(turn)
-            left, right = keys >> wide, keys & mask
-            stays = (seq.take(at) == np.repeat(left, sizes)) & (seq.take(after.take(at)) == np.repeat(right, sizes))
-            upto = np.concatenate(([0], np.cumsum(sizes)))
-            counted, kept = np.add.reduceat(stays, upto[:-1], dtype=np.int64), []
-            for key, now, run, s, e in zip(turn, counted.tolist(), (left == right).tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
-                if run or now >= queued:
-                    kept.append(key)
-                elif now < frequent:
-                    del held[key]
-                else:
-                    held[key] = at[s:e][stays[s:e]]
-                    by_count.setdefault(now, []).append(key)
-            turn = kept
-        for key in turn:
-            left, right = key >> wide, key & ((1 << wide) - 1)
-            at = held.pop(key)
-            at = at[seq.take(at) == left]
-            at = at[seq.take(after.take(at)) == right]
-            where = at
-            if left == right and len(at) > 1:  # of a run of one symbol every second place
-                first = np.concatenate(([True], after[at[:-1]] != at[1:]))
+        while turn:
+            # Pairs that can't overlap, no left symbol being another's right one, don't change each other's counts: they take their turn together.
+            together, later, lefts, rights = [], [], set(), set()
+            for key in turn:
+                left, right = key >> wide, key & mask
+                if left in rights or right in lefts or (left == right and together):
+                    later.append(key)
+                    continue
+                together.append(key)
+                lefts.add(left)
+                rights.add(right)
+                if left == right:
+                    later += turn[len(together) + len(later) :]
+                    break
+            turn = later
+            places = [held.pop(k) for k in together]
+            sizes, keys = np.fromiter(map(len, places), np.int64, len(places)), np.array(together)
+            at = np.concatenate(places) if len(places) > 1 else places[0]
+            left, right = (np.repeat(keys >> wide, sizes), np.repeat(keys & mask, sizes)) if len(places) > 1 else (together[0] >> wide, together[0] & mask)
+            stays = seq.take(at) == left
+            stays &= seq.take(after.take(at)) == right
+            if len(places) == 1 and left == right:  # of a run of one symbol every second place
+                at = at[stays]
+                first = np.concatenate((np.ones(min(1, len(at)), bool), after[at[:-1]] != at[1:]))
                 index = np.arange(len(at))
-                where = at[(index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0]
-            if (now := len(where)) < frequent:
+                stays = (index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0
+                if (now := int(np.count_nonzero(stays))) < queued:
+                    if now >= frequent:
+                        held[together[0]] = at
+                        by_count.setdefault(now, []).append(together[0])
+                    continue
+                where, new = at[stays], together
+            else:
+                upto = np.cumsum(sizes) - sizes
+                counted = np.add.reduceat(stays, upto, dtype=np.int64)
+                full = counted >= queued
+                for k in np.flatnonzero(~full & (counted >= frequent)).tolist():  # these have lost places since
+                    s, e, now = int(upto[k]), int(upto[k] + sizes[k]), int(counted[k])
+                    held[together[k]] = at[s:e][stays[s:e]]
+                    by_count.setdefault(now, []).append(together[k])
+                if not full.all():
+                    stays &= np.repeat(full, sizes)
+                where, new = at[stays], keys[full].tolist()
+            if not new:
                 continue
-            if now < queued:
-                held[key] = at
-                by_count.setdefault(now, []).append(key)
-                continue
-            made = terminals + len(rules)
-            rules.append((left, right))
-            lengths.append(sum(1 if x < terminals else lengths[x - terminals] for x in (left, right)))
-            depths.append(1 + max(0 if x < terminals else depths[x - terminals] for x in (left, right)))
+            base = terminals + len(rules)
+            for key in new:
+                pair = key >> wide, key & mask
+                rules.append(pair)
+                lengths.append(sum(1 if x < terminals else lengths[x - terminals] for x in pair))
+                depths.append(1 + max(0 if x < terminals else depths[x - terminals] for x in pair))
+            made = np.repeat(np.arange(base, base + len(new)), queued) if len(new) > 1 else base
             gone = after.take(where)
             follow = after.take(gone)
             seq[where], seq[gone], after[where], before[follow] = made, -1, follow, where
             ahead = before.take(where)
-            one, two = seq.take(ahead), seq.take(follow)
-            # The new symbol's neighbours: twice the symbol, and one more for those that follow; two new ones side by side count once.
-            ok_one, ok_two = (one >= 0) & (one != made), two >= 0
-            keys = np.concatenate((one[ok_one] << 1, two[ok_two] << 1 | 1)).astype(np.int64)
-            for x, at in groups(keys, np.concatenate((ahead[ok_one], where[ok_two])), frequent):
-                fresh = made << wide | x >> 1 if x & 1 else x >> 1 << wide | made
+            one, two = seq.take(ahead).astype(np.int64), seq.take(follow).astype(np.int64)
+            # The new symbols' neighbours; where two new ones lie side by side, the pair is that of the first and what follows it.
+            ok_one, ok_two = (one >= 0) & (one < base), two >= 0
+            pairs = np.concatenate(((one << wide | made)[ok_one], (made << wide | two)[ok_two]))
+            for fresh, at in groups(pairs, np.concatenate((ahead[ok_one], where[ok_two])), frequent):
                 held[fresh] = at
                 (turn if len(at) == queued else by_count.setdefault(len(at), [])).append(fresh)
     alive = seq[:n] >= 0
@@ -253,12 +278,16 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             names, texts = b.column(0).to_pylist(), as_texts(b.column(1))
             for s, e in chunks([len(t) for t in texts], ENCODE_CHARS):
                 got, n = words.encode_batch(texts[s:e], end_id)
-                doc_ids += names[s:e]
-                counts.append(n)
-                ids.append(got)
-                held += len(got)
-                if held >= shard_ids:
-                    yield flush()
+                upto, first = np.concatenate(([0], np.cumsum(n))), 0
+                while first < len(n):  # documents until the shard is full
+                    last = min(len(n), int(np.searchsorted(upto, upto[first] + shard_ids - held)))
+                    doc_ids += names[s + first : s + last]
+                    counts.append(n[first:last])
+                    ids.append(got[upto[first] : upto[last]])
+                    held += int(upto[last] - upto[first])
+                    first = last
+                    if held >= shard_ids:
+                        yield flush()
         if doc_ids:
             yield flush()
 

@@ -15,9 +15,11 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Limits of the cache: stretches, their characters, and the longest that stays when it is full.
@@ -26,7 +28,7 @@ CACHE_STRETCHES, CACHE_CHARS, LONGEST = 400_000, 8_000_000, 256
 ENCODE_CHARS = 1 << 19
 #: Characters that Python's split takes for white space and the vocabulary's pattern doesn't, and the mark between stretches.
 ODD = "\x00\x1c\x1d\x1e\x1f"
-TOGETHER = 2048
+TOGETHER = 256
 MARKS = (",", ".")
 
 
@@ -98,13 +100,18 @@ class StretchEncoder:
         self.words: dict[str, int] = {}
         self.word_flat, self.word_ends = array("I"), array("Q", [0])
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, and where each one's end."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word didn't end with one closing token")
+        return ids, ends
+
     def learn_words(self, fresh: list[str]) -> None:
         for i in range(0, len(fresh), TOGETHER):
             part = fresh[i : i + TOGETHER]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("a word didn't end with one closing token")
+            ids, ends = self.encode_words(part)
             base, done = len(self.words), self.word_ends[-1]
             self.words.update(zip(part, range(base, base + len(part)), strict=True))
             self.word_flat.frombytes(ids.tobytes())
@@ -118,7 +125,15 @@ class StretchEncoder:
             for w in fresh:
                 if w not in taken:
                     self.add([w], np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32), None)
-        if not quick:
+        # Small letters alone are one pre-token.
+        letters, rest = [], []
+        for w in quick:
+            (letters if w.islower() and w.isalpha() else rest).append(w)
+        for i in range(0, len(letters), TOGETHER):
+            part = letters[i : i + TOGETHER]
+            ids, ends = self.encode_words(part)
+            self.add(part, ids, np.diff(ends, prepend=0))
+        if not (quick := rest):
             return
         self.forget_words()
         words = self.words
@@ -139,21 +154,22 @@ class StretchEncoder:
         base, done = len(self.known), self.ends[-1]
         self.known.update(zip(stretches, range(base, base + len(stretches)), strict=True))
         self.chars += sum(map(len, stretches))
-        self.open += bytes([not w[-1].isalnum() for w in stretches])
+        self.open += bytes([w != "" and not w[-1].isalnum() for w in stretches])
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
         self.ends.frombytes((done + np.cumsum([len(ids)] if counts is None else counts)).astype(np.uint64).tobytes())
 
-    def places(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all stretches in order, and how many each part has."""
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        stretches = list(chain.from_iterable(parts))
-        at = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
-        new = np.flatnonzero(at < 0)
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all stretches in order, and how many each text has; only the distinct ones become Python objects."""
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
         if len(new):
-            met = [stretches[i] for i in new.tolist()]
-            self.learn(list(dict.fromkeys(met)))
-            at[new] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
-        return at, counts
+            fresh = [names[i] for i in new.tolist()]
+            self.learn(fresh)
+            number[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        return number[coded.indices.to_numpy()], pc.list_value_length(split).to_numpy().astype(np.int64)
 
     def encode_batch(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in order, each text's followed by end unless that is None, and how many each text has."""
@@ -166,16 +182,16 @@ class StretchEncoder:
             return np.fromiter((i for x in got for i in [*x, *tail]), np.uint32), np.array([len(x) + len(tail) for x in got], np.int64)
         if len(self.known) > CACHE_STRETCHES or self.chars > CACHE_CHARS:
             self.shrink()
-        parts = [shared_stretches(t) for t in texts]
-        at, counts = self.places(parts)
+        shared = [shared_form(t) for t in texts]
+        at, counts = self.places(shared)
         marks = [self.known[x] for x in MARKS if x in self.known]
         if marks:
             # A comma or full stop that was set apart from other punctuation belongs to its run: those texts are cut by spaces alone.
             wrong = np.flatnonzero(np.isin(at[1:], marks) & np.frombuffer(self.open, np.uint8)[at[:-1]].astype(bool))
             if len(wrong):
                 for k in set(np.searchsorted(np.cumsum(counts), wrong + 1, "right").tolist()):
-                    parts[k] = texts[k].split()
-                at, counts = self.places(parts)
+                    shared[k] = texts[k].strip()
+                at, counts = self.places(shared)
         self.grown(len(self.known))[:] += np.bincount(at, minlength=len(self.known))
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
         ends = np.frombuffer(self.ends, np.uint64).view(np.int64)
@@ -188,16 +204,16 @@ class StretchEncoder:
         return ids, np.diff(upto[np.concatenate(([0], np.cumsum(counts)))])
 
 
-def shared_stretches(text: str) -> list[str]:
-    """Stretches of text, in Latin-1 texts in lower case and without the comma or full stop at their end, which follows by itself: fewer distinct ones."""
+def shared_form(text: str) -> str:
+    """Text whose stretches count: Latin-1 texts in lower case, with spaces before the comma or full stop at a stretch's end, which follows by itself: fewer distinct ones."""
     if not text.isascii():
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return text.split()
+            return text.strip()
     if "<|" in text:
-        return text.split()
-    return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").split()
+        return text.strip()
+    return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").strip()
 
 
 def gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

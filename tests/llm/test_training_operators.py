@@ -307,6 +307,31 @@ def test_repair_round_trip(seed):
         assert len(shard.symbols) < 0.8 * len(ids)
 
 
+def test_grammar_leaves_no_frequent_pair(monkeypatch):
+    """Pairs that can't overlap share a turn: far fewer turns than rules, and still no pair occurs so often in the end."""
+    r = np.random.default_rng(3)
+    counts = r.integers(1, 300, 400)
+    ids = (r.zipf(1.2, counts.sum()) % 900).astype(np.uint32)
+    turns, grouped = [], repair.groups
+    monkeypatch.setattr(repair, "groups", lambda *a: turns.append(1) or grouped(*a))
+    symbols, per, rules, lengths = repair.grammar(ids, counts, 900, 8)
+    assert len(rules) > 300 and len(turns) < len(rules) / 2
+    left = Counter()
+    for doc in np.split(symbols, np.cumsum(per)[:-1]):
+        before = None
+        for pair in itertools.pairwise(doc.tolist()):
+            before = None if pair == before else pair  # of a run every second place
+            left[pair] += before is not None
+    assert max(left.values()) < 8
+
+
+def test_shards_end_where_they_are_full(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "one two three four") for k in range(50)], "doc_id long, text string")
+    repair.write_token_files(docs, str(tmp_path / "files"), shard_ids=20, partitions=1)
+    shards = spark.read.parquet(str(tmp_path / "files")).orderBy("shard").collect()
+    assert [x.n_ids for x in shards] == [20] * 12 + [10] and [x.before for x in shards] == list(range(0, 250, 20))
+
+
 def test_token_files(spark, edge, empty, tmp_path):
     library = Tokenizer.from_file(WORD)
     for name, shard_ids in (("one", 1 << 20), ("many", 8)):
